@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import mixing, quality_rules, sentence_pieces, token_counts
+from veilmark.llm import mixing, near_dedup, quality_classifier, quality_rules, sentence_pieces, token_counts
 from veilmark.llm.common import table
 
 #: The tokenizer's file; its place is a parameter of the environment.
@@ -34,10 +34,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model_file())
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_sentence_pieces, op4_token_counts, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_sentence_pieces, op4_token_counts, op5_near_dedup, op6_quality_classifier, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(columns="doc_id, text, lang, drawn.source, n_chars")}
