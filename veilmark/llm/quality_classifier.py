@@ -241,21 +241,23 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int, id_col: str, text_col
     return [(np.frombuffer(r["bins"], np.uint8).reshape(-1, len(NAMES)), np.frombuffer(r["sizes"], np.float32).astype(float), r["y"]) for r in rows]
 
 
-def classify(docs: DataFrame, labels: DataFrame, bound: int = 2000, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = ()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, bound: int = 2000, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = (), suffix: str = "") -> DataFrame:
     """The id, columns in `keep`, held_out, score, predicted and n_lines for every row; whole texts, no shuffle of texts.
 
+    `suffix` is put behind the new columns' names, where one in `keep` clashes with them.
     The model is fitted on at most `bound` labelled documents whose crc32(id) mod 4 is not 2. Only the text is
     looked at. A null or empty text has no lines and gets the share of good ones among labelled empty texts,
     smoothed (0 without such). Without labels of both kinds the score is the one label's side. Null
     ids are scored and not held out (their crc32 is that of an empty text); repeated rows stay.
     """
     chain = train(sample(docs, labels, bound, id_col, text_col, label_col))
+    score, lines = f"score{suffix}", f"n_lines{suffix}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [lines_of(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(k) for k in range(2, b.num_columns)), pa.array([chain.score(*x) for x in got], pa.float64()), pa.array([len(s) for _, s in got], pa.int64())], [id_col, *keep, "score", "n_lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(k) for k in range(2, b.num_columns)), pa.array([chain.score(*x) for x in got], pa.float64()), pa.array([len(s) for _, s in got], pa.int64())], [id_col, *keep, score, lines])
 
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    scored = docs.select(id_col, text_col, *keep).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}{extra}, score double, n_lines bigint")
-    return scored.select(id_col, *keep, (crc_mod(id_col, 4) == 2).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "n_lines")
+    scored = docs.select(id_col, text_col, *keep).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}{extra}, {score} double, {lines} bigint")
+    return scored.select(id_col, *keep, (crc_mod(id_col, 4) == 2).alias(f"held_out{suffix}"), score, (F.col(score) >= least).cast("int").alias(f"predicted{suffix}"), lines)

@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import mixing, near_dedup, quality_classifier, quality_rules, sentence_pieces, token_counts
+from veilmark.llm import mixing, near_dedup, quality_classifier, quality_rules, sentence_pieces, surrogates, token_counts
 from veilmark.llm.common import table
 
 #: The tokenizer's file; its place is a parameter of the environment.
 TOKENIZER = "piece_bpe_32k.model"
 
 
+#: The secret of the surrogates; who knows it can test guesses, so real runs set their own.
+KEY = os.environ.get("VEILMARK_KEY", "veilmark-test-key")
+
+
 def model_file() -> str:
     if "VEILMARK_TOKENIZER" in os.environ:
         return os.environ["VEILMARK_TOKENIZER"]
@@ -42,10 +46,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), KEY)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_sentence_pieces, op4_token_counts, op5_near_dedup, op6_quality_classifier, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_sentence_pieces, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_surrogates, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(columns="doc_id, text, lang, drawn.source, n_chars")}

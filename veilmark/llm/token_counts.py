@@ -25,13 +25,32 @@ SPACE = "▁"
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+class Kept(dict):
+    """A function's results by key, for the keys seen lately: at the bound the older half goes."""
+
+    def __init__(self, make, bound: int):
+        super().__init__()
+        self.make, self.bound, self.old = make, bound // 2, {}
+
+    def __missing__(self, key: str) -> int:
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= 64:
+            self[key] = out
+        return out
+
+
 class PrefixCounter:
     """Exact token counts of all prefixes under a sentencepiece BPE model with byte fallback.
 
     texts: normalised as the model's identity rule does (a marker before the text, markers for blanks).
     """
 
-    def __init__(self, model_file: str, kept_words: int = 500_000):
+    def __init__(self, model_file: str, kept_words: int = 600_000):
         import ahocorasick
         import sentencepiece.sentencepiece_model_pb2 as pb
 
@@ -58,9 +77,8 @@ class PrefixCounter:
         held = {p[i] for p in self.pieces for i in range(1, len(p)) if p[i - 1].isalnum()}
         cuts = "".join(re.escape(c) for c in map(chr, range(1, 128)) if not c.isalnum() and c != "_" and c not in held)
         self.cut = re.compile(rf"(?<=[^\W_])(?=[{cuts}])") if cuts else None
-        self.kept_words = kept_words
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
+        part = Kept(lambda p: self.table(p)[-1], kept_words)
+        self.counts = Kept(lambda w: sum(map(part.__getitem__, self.parts(SPACE + w))), kept_words)
         self.stable: dict[int, bool] = {}
 
     def merged(self, chars: str) -> list[str]:
@@ -110,32 +128,21 @@ class PrefixCounter:
                 out += [out[-1] + x for x in part[1:]]
         return out
 
-    def count(self, word: str) -> int:
-        """Tokens of one word, kept for the words seen lately."""
-        out = self.young.get(word)
-        if out is None:
-            if len(self.young) >= self.kept_words:
-                self.old, self.young = self.young, {}
-            out = self.old.get(word)
-            if out is None:
-                out = self.table(word)[-1]
-            if len(word) <= 64:
-                self.young[word] = out
-        return out
-
     def words(self, text: str) -> list[str]:
-        """The marked text cut where no merge can cross: before each run of markers, and before signs that stand behind a letter."""
+        """The marked text cut before each run of markers, which no merge crosses."""
         marked = SPACE + text.replace(" ", SPACE)
-        if SPACE * 2 in marked:
-            out = RUNS.findall(marked)
-        else:
-            out = [SPACE + w for w in marked[1:].split(SPACE)]
-        cut = self.cut
-        return out if cut is None else [p for w in out for p in ((w,) if w[1:].isalnum() else cut.split(w))]
+        return RUNS.findall(marked) if SPACE * 2 in marked else [SPACE + w for w in marked[1:].split(SPACE)]
+
+    def parts(self, word: str) -> list[str]:
+        """A word cut before the signs behind a letter that no merge reaches over."""
+        return [word] if self.cut is None or word[1:].isalnum() else self.cut.split(word)
 
     def total(self, text: str | None) -> int:
-        count = self.count
-        return sum([count(w) for w in self.words(text)]) if text else 0
+        if not text:
+            return 0
+        if SPACE in text or "  " in text or text[0] == " ":
+            return sum(map(self.counts.__getitem__, [w[1:] for w in self.words(text)]))
+        return sum(map(self.counts.__getitem__, text.split(" ")))
 
     def prefixes(self, text: str | None) -> list[int]:
         """Token count of text[:i] for i = 0..len(text). The marker before the text comes with its first character."""
