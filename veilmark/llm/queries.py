@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import mixing, near_dedup, page_text, quality_classifier, quality_rules, sentence_pieces, surrogates, token_counts
+from veilmark.llm import bit_sliced, mixing, near_dedup, page_text, quality_classifier, quality_rules, sentence_pieces, surrogates, token_counts
 from veilmark.llm.common import table
 
 #: The tokenizer's file; its place is a parameter of the environment.
@@ -50,6 +50,10 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(table(spark, sf_dir, "documents"), KEY)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_sentence_pieces, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_surrogates, op9_page_text, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_sentence_pieces, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_surrogates, op8_exact_top_k, op9_page_text, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(columns="doc_id, text, lang, drawn.source, n_chars")}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(columns="doc_id, text, lang, drawn.source, n_chars"), "op8_exact_top_k": bit_sliced.SQL}
