@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import bit_sliced, mixing, near_dedup, page_text, quality_classifier, quality_rules, sentence_pieces, surrogates, token_counts
+from veilmark.llm import bit_sliced, mixing, near_dedup, page_text, quality_classifier, quality_rules, repeats, sentence_pieces, surrogates, token_counts
 from veilmark.llm.common import table
 
 #: The tokenizer's file; its place is a parameter of the environment.
@@ -34,6 +34,10 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(table(spark, sf_dir, "documents"), model_file())
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model_file())
 
@@ -62,6 +66,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_sentence_pieces, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_surrogates, op8_exact_top_k, op9_page_text, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_sentence_pieces, op3_repeated_passages, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_surrogates, op8_exact_top_k, op9_page_text, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(columns="doc_id, text, lang, drawn.source, n_chars"), "op8_exact_top_k": bit_sliced.SQL}
