@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import cut
 
+#: Links that one task takes in a second or so.
+ONE_TASK = 100_000
+
 
 def _large(links: DataFrame) -> DataFrame:
     """Every node hands the smallest of itself and its neighbours to its larger neighbours."""
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -19,8 +22,8 @@ def _small(links: DataFrame) -> DataFrame:
     """Every node hands its smallest neighbour to its smaller neighbours and itself."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v"))
+    # The link to the smallest neighbour itself becomes the node's own.
+    return down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v", most: int = 60) -> DataFrame:
@@ -31,6 +34,9 @@ def components(links: DataFrame, u: str = "u", v: str = "v", most: int = 60) ->
     with very many links is never gathered in one place. Each round is written to the shared folder.
     """
     now = cut(links.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # Few links make one small partition, which needs no exchange; more are dealt out.
+    if now.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        now = now.coalesce(1)
     mark = None
     for _ in range(most):
         # A set of stars is a fixed point: the marks of the sets before and after a round are the same.
@@ -38,5 +44,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v", most: int = 60) ->
         if seen == mark or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         mark = seen
+        one = now.rdd.getNumPartitions() == 1
         now = cut(_small(_large(now).distinct()).distinct())
+        now = now.coalesce(1) if one else now
     raise RuntimeError("components did not settle")

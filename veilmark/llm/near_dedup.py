@@ -5,8 +5,8 @@
 2. K minima make bands of a few; two classes with an equal band are candidates. In each bucket the smallest
    class is compared with every other, which is linear in the bucket.
 3. Candidates must agree in enough minima, and then in their full sets; these links give components.
-4. Buckets that still hold several components are searched further, in blocks of bounded size, until
-   every pair of classes in different components has been refused. Pairs inside one component need no
+4. Buckets that still hold several components are searched whole, in blocks of bounded size: every pair of
+   classes in different components is refused or makes a link. Pairs inside one component need no
    comparison, as they would change nothing.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import WordHashes, cut, mix, shingles
 from veilmark.llm.components import components
 
-BLOCK = 2048
+BLOCK, BLOCK_SIZE = 2048, 4_000_000
 
 
 class Minima:
@@ -101,10 +101,9 @@ def with_signatures(pairs: DataFrame, classes: DataFrame, least: int) -> DataFra
     return agreement(both, least)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, id_col: str, text_col: str, few: int) -> DataFrame:
-    """Pairs u, v whose full sets meet 100 * intersection >= percent * union. Sets are made anew for the classes that need one."""
-    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
-    wanted = cut(classes.join(ends, "fp", "left_semi").select("fp", "low"))
+def sets_of(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str, few: int) -> DataFrame:
+    """fp, items (sorted hashes, as bytes): the full sets of the classes in `wanted` (fp, low), made anew from their texts."""
+    wanted = cut(wanted)
     ids = wanted.select("low").distinct()
     small = wanted.limit(few + 1).count() <= few
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if small else ids, F.col("id").eqNullSafe(F.col("low")), "left_semi")
@@ -112,51 +111,88 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, size, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "items"])
+            sets = [shingle_set(t, size, words).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "items"])
 
-    sets = texts.mapInArrow(run, "fp binary, items array<bigint>")
     # An id may stand for several texts, and several rows for one class: only wanted classes, one row each.
-    sets = cut(sets.join(F.broadcast(wanted.select("fp")) if small else wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items")))
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("items").alias("y")), "v")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("common", common).filter(F.expr(f"100 * common >= {percent} * (size(x) + size(y) - common)")).select("u", "v")
+    sets = texts.mapInArrow(run, "fp binary, items binary")
+    return cut(sets.join(F.broadcast(wanted.select("fp")) if small else wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items")))
+
+
+def alike(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets meet 100 * intersection >= percent * union with the one; sets are sorted."""
+    out = np.zeros(len(others), bool)
+    start = 0
+    while start < len(others):  # bounded memory with very long texts
+        end, total = start, 0
+        while end < len(others) and (end == start or total + len(others[end]) <= 4_000_000):
+            total += len(others[end])
+            end += 1
+        flat = np.concatenate(others[start:end])
+        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+        sizes = np.array([len(o) for o in others[start:end]])
+        common = np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate([[0], sizes.cumsum()[:-1]]))
+        out[start:end] = 100 * common >= percent * (len(one) + sizes - common)
+        start = end
+    return out
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs u, v whose full sets are alike."""
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("items").alias("y")), "v").select("u", "v", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [bool(alike(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], percent)[0]) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "u binary, v binary")
 
 
-def rest_of_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, least: int, each: int | None) -> DataFrame:
-    """Pairs u, v of one bucket and different components whose minima agree in `least` places.
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, fp, root, blocks of the buckets that hold several components. Of buckets with the same members one is enough.
 
-    each: for every class and other component in a bucket only so many of the most alike, None for all. A
-    bucket is dealt out in pairs of blocks of at most about BLOCK members, so no task gets a whole large bucket.
+    A bucket is cut in blocks of at most about BLOCK members and BLOCK_SIZE shingles.
     """
     named = members.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    open_ = named.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1 AND m > 2").select("band", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    rows = named.join(open_, "band").join(classes.select("fp", "sig"), "fp")
+    buckets = named.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("mark")).filter("r0 != r1 AND m > 2")
+    once = buckets.groupBy("m", "mark").agg(F.min(F.struct("band", "total")).alias("b"))
+    blocks = once.select("b.band", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("b.total") / BLOCK_SIZE)).alias("blocks"))
+    return named.join(blocks, "band").select("band", "fp", "root", "blocks")
+
+
+def rest_of_buckets(opened: DataFrame, classes: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links u, v between components within one bucket, enough of them to connect what any link in the bucket connects.
+
+    Every pair of classes in different components is held against each other: first the minima, then the full
+    sets. Pairs of blocks are separate tasks, and only links leave them, fewer than the components in the two blocks.
+    """
+    rows = opened.join(classes.select("fp", "sig"), "fp").join(sets, "fp")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "root", "sig")
+    rows = rows.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "root", "sig", "items")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), -1)
-        root = pd.factorize(group["root"])[0]
+        comp = pd.factorize(group["root"])[0]
         mine, fps = group["mine"].to_numpy(), group["fp"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
+        sizes = np.array([len(s) for s in sets])
         i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left = np.flatnonzero(mine == i)
         right = np.flatnonzero(mine == j)
-        got = set()
-        for k in left:
-            near = right[(root[right] != root[k])]
-            if not len(near):
-                continue
-            same = (sig[near] == sig[k]).sum(axis=1)
-            near, same = near[same >= least], same[same >= least]
-            if each is not None and len(near) > each:
-                order = np.lexsort((near, -same))
-                order = order[pd.Series(root[near][order]).groupby(root[near][order]).cumcount().to_numpy() < each]
-                near = near[order]
-            got.update((min(fps[k], fps[x]), max(fps[k], fps[x])) for x in near)
-        return pd.DataFrame(sorted(got), columns=["u", "v"])
-
-    return rows.groupBy("band", "i", "j").applyInPandas(search, "u binary, v binary").distinct()
+        got = []
+        for k in np.flatnonzero(mine == i):
+            near = right[(comp[right] != comp[k]) & (100 * np.minimum(sizes[right], sizes[k]) >= percent * np.maximum(sizes[right], sizes[k]))]
+            if i == j:
+                near = near[near > k]
+            near = near[(sig[near] == sig[k]).sum(axis=1) >= least]
+            if len(near):
+                for x in near[alike(sets[k], [sets[x] for x in near], percent)]:
+                    if comp[x] != comp[k]:
+                        got.append((fps[k], fps[x]))
+                        comp[comp == comp[x]] = comp[k]
+        return pd.DataFrame(got, columns=["u", "v"])
+
+    return rows.groupBy("band", "i", "j").applyInPandas(search, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, bands: int = 40, id_col: str = "doc_id", text_col: str = "text", few: int = 1_000_000) -> DataFrame:
@@ -172,23 +208,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     k = rows * bands
     least = int(k * percent / 100 - 6 * np.sqrt(k * percent / 100 * (1 - percent / 100)))
     base = cut(sketch(docs, size, k, id_col, text_col))
-    classes = cut(base.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("low"), F.first("sig").alias("sig")))
+    classes = cut(base.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("low"), F.first("sig").alias("sig"), F.first("n").alias("n")))
     members = band_rows(classes, rows, bands)
     pivots = members.groupBy("band").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = cut(members.join(pivots, "band"))
-    pairs = members.filter("fp != v").select(F.col("fp").alias("u"), "v").distinct()
-    check = lambda p: verified(p, docs, classes, size, percent, id_col, text_col, few)
-    links = cut(check(cut(with_signatures(pairs, classes, least))))
-    labels = cut(components(links))
-    inside = members.filter("m > 2").select("band", "fp")
-    for each in (1, 8, None):
-        more = cut(rest_of_buckets(inside, labels, classes, least, each))
-        if more.isEmpty():
-            break
-        found = cut(check(more))
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = cut(components(labels.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)))
+    pairs = cut(with_signatures(members.filter("fp != v").select(F.col("fp").alias("u"), "v").distinct(), classes, least))
+    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+    sets = sets_of(classes.join(ends, "fp", "left_semi").select("fp", "low"), docs, size, id_col, text_col, few)
+    links = cut(verified(pairs, sets, percent))
+    labels = components(links)
+    opened = cut(open_members(members.filter("m > 2").select("band", "fp").join(classes.select("fp", "n"), "fp"), labels))
+    if not opened.isEmpty():
+        inside = classes.join(opened.select("fp").distinct(), "fp", "left_semi").select("fp", "low")
+        more = cut(rest_of_buckets(opened, classes, sets_of(inside, docs, size, id_col, text_col, few), least, percent))
+        if not more.isEmpty():
+            labels = components(labels.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     lows = classes.select("fp", "low")
     named = labels.join(lows, labels["node"] == lows["fp"]).select("fp", "root", "low")
     smallest = named.groupBy("root").agg(F.min("low").alias("group_low"))
