@@ -57,7 +57,11 @@ PATTERNS: dict[str, str] = {
     "CARD": r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){12,18}" + NOT_AFTER,
     "PERSON": NOT_BEFORE + rf"(?:(?:{_TITLE}|Dr|Prof)\.? (?:{_NAME})(?: {_NAME})?|(?:{_GIVEN}) {_NAME})" + NOT_AFTER,
 }
+PATTERNS["PERSON"] = r"(?=[\p{Lu}г])" + PATTERNS["PERSON"]
+#: Only texts with a digit or an at sign are searched for what needs one; a token or key without any digit is no token.
 ANY = "|".join(PATTERNS.values())
+NO_MAIL = r"(?=[0-9a-z\p{Lu}г+(])(?:" + "|".join(p for t, p in PATTERNS.items() if t != "EMAIL") + ")"
+ONLY_PERSON = PATTERNS["PERSON"]
 
 
 def q(text: str) -> str:
@@ -191,10 +195,20 @@ def _one(expr: str, value: str, name: str) -> str:
     return f"transform(array({value}), {name} -> {expr})[0]"
 
 
+def _cases(text: str, call: str) -> str:
+    """A call with the least pattern that a text needs; {p} is its place."""
+    return f"CASE WHEN contains({text}, '@') THEN {call.format(p=q(ANY))} WHEN {text} rlike '[0-9]' THEN {call.format(p=q(NO_MAIL))} ELSE {call.format(p=q(ONLY_PERSON))} END"
+
+
+def hits(text: str) -> str:
+    """All entities of a text, in order."""
+    return _cases(text, f"regexp_extract_all({text}, {{p}}, 0)")
+
+
 def mentions(text_col: str) -> Column:
     """array<struct<type, norm>> of a text, in order."""
     each = _one("named_struct('type', mt, 'norm', " + _norm("mt", "mm") + ")", _type("mm"), "mt")
-    return F.expr(f"transform(regexp_extract_all(`{text_col}`, {q(ANY)}, 0), mm -> {each})")
+    return F.expr(f"transform({hits(f'`{text_col}`')}, mm -> {each})")
 
 
 def values(docs: DataFrame, key: str, id_col: str, text_col: str, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -236,12 +250,11 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     attempt = "coalesce(try_element_at(again_map, concat_ws('|', mt, mn)), 0)" if some else "0"
     one = _one(_one(_one(_written("mt", "mm", "ms"), _surrogate(key, "mt", "mn", "ma"), "ms"), attempt, "ma"), _norm("mt", "mm"), "mn")
     one = _one(one, _type("mm"), "mt")
-    hits, gaps = f"regexp_extract_all({text}, {q(ANY)}, 0)", f"split({text}, {q(ANY)}, -1)"
-    put = f"concat(array_join(flatten(transform(arrays_zip({gaps} as g, transform({hits}, mm -> {one}) as h), z -> array(z.g, coalesce(z.h, '')))), ''))"
-    put = put.replace(f"arrays_zip({gaps} as g, ", f"arrays_zip({gaps}, ").replace(" as h), z -> array(z.g, coalesce(z.h, ''))", "), z -> array(z.`0`, coalesce(z.`1`, ''))")
-    has = f"{text} rlike {q(ANY)}"
+    gaps = _cases(text, f"split({text}, {{p}}, -1)")
+    put = f"array_join(flatten(zip_with({gaps}, surrogate_hits, (g, mm) -> CASE WHEN mm IS NULL THEN array(g) ELSE array(g, {one}) END)), '')"
+    docs_in = docs_in.withColumn("surrogate_hits", F.expr(hits(text)))
     out = {c: F.col(c) for c in docs.columns}
-    out[text_col] = F.expr(f"CASE WHEN {has} THEN {put} ELSE {text} END")
+    out[text_col] = F.expr(f"CASE WHEN size(surrogate_hits) > 0 THEN {put} ELSE {text} END")
     if count_col:
-        out[count_col] = F.expr(f"cast(coalesce(size({hits}), 0) as bigint)")
+        out[count_col] = F.expr("cast(greatest(coalesce(size(surrogate_hits), 0), 0) as bigint)")
     return docs_in.select(*(c.alias(n) for n, c in out.items()))
