@@ -244,3 +244,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return out
     same = F.col(id_col).eqNullSafe(F.col("twice_id"))
     return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+#: DuckDB SQL for near_duplicates() with two-word shingles and 80 %: all pairs that share one of their rarest shingles, held against each other whole.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS ws FROM documents
+),
+s AS (SELECT doc_id, CASE WHEN len(ws) > 1 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) ELSE ws END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+df AS (SELECT x, count(*) AS k FROM e GROUP BY x),
+ranked AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY k, x) AS r FROM e JOIN df USING (x)),
+prefix AS (SELECT doc_id, n, x FROM ranked WHERE r <= n - ceil(0.8 * n) + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+met AS (SELECT a, b, len(list_intersect(sa.g, sb.g)) AS i, len(sa.g) + len(sb.g) AS t FROM pairs JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b),
+links AS (SELECT a, b FROM met WHERE 100 * i >= 80 * (t - i) UNION ALL SELECT b, a FROM met WHERE 100 * i >= 80 * (t - i)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r),
+root AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN root USING (doc_id)
+"""

@@ -68,4 +68,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_sentence_pieces, op3_repeated_passages, op4_token_counts, op5_near_dedup, op6_quality_classifier, op7_surrogates, op8_exact_top_k, op9_page_text, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(columns="doc_id, text, lang, drawn.source, n_chars"), "op8_exact_top_k": bit_sliced.SQL}
+ORACLES: dict[str, str] = {"op1_source_mixing": mixing.SQL.format(columns="doc_id, text, lang, drawn.source, n_chars"), "op5_near_dedup": near_dedup.SQL, "op8_exact_top_k": bit_sliced.SQL}
