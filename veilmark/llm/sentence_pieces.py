@@ -64,7 +64,7 @@ class Codec:
     distinct word is encoded once by both, and a text's ids are those of its words; else whole texts are.
     """
 
-    def __init__(self, model_file: str, threads: int, kept_words: int = 400_000):
+    def __init__(self, model_file: str, threads: int, kept_words: int = 200_000):
         import sentencepiece
         import sentencepiece.sentencepiece_model_pb2 as pb
 

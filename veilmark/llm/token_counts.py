@@ -50,7 +50,7 @@ class PrefixCounter:
     texts: normalised as the model's identity rule does (a marker before the text, markers for blanks).
     """
 
-    def __init__(self, model_file: str, kept_words: int = 600_000):
+    def __init__(self, model_file: str, kept_words: int = 400_000):
         import ahocorasick
         import sentencepiece.sentencepiece_model_pb2 as pb
 
@@ -99,7 +99,7 @@ class PrefixCounter:
         key = (left << 32) + right
         out = self.stable.get(key)
         if out is None:
-            if len(self.stable) > 1_000_000:
+            if len(self.stable) > 500_000:
                 self.stable.clear()
             pair = [self.pieces[right]] if left < 0 else [self.pieces[left], self.pieces[right]]
             out = self.stable[key] = self.merged("".join(pair)) == pair
