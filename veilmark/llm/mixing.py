@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.llm.common import cut
+
 #: 13 hex digits: what a double holds exactly.
 HASH_RANGE = float(16**13)
 
@@ -31,10 +33,10 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, ep
     share = F.lit(1.0)
     if weights is not None:
         share = F.coalesce(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("mix_source")], F.lit(0.0)).cast("double")
-    one = sizes.withColumn("share", share)
-    total = one.agg(F.sum("size").alias("docs"), F.sum("share").alias("shares"))
-    rate = F.expr("share / shares * docs / size") * F.lit(float(epochs))
-    rated = one.crossJoin(F.broadcast(total)).select("mix_source", F.when(F.col("shares") > 0, rate).otherwise(0.0).alias("rate"))  # total is one row
+    one = cut(sizes.withColumn("share", share))
+    shares, docs_in_all = one.agg(F.sum("share"), F.sum("size")).first()
+    rate = F.expr(f"share / {float(shares or 0)!r}D * {float(docs_in_all or 0)!r}D / size") * F.lit(float(epochs)) if shares else F.lit(0.0)
+    rated = one.select("mix_source", rate.alias("rate"))
     rated = rated.withColumn("rate", F.when(F.col("rate") <= most, F.col("rate")).otherwise(F.raise_error(F.lit(f"a source would be repeated over {most} times"))))
     terms = F.expr(f"""transform(aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 40) as int)),
         named_struct('p', exp(-rate), 'all', array(exp(-rate))),
@@ -51,7 +53,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     sources; else Spark joins by shuffling. The shuffle moves each copy once, dealt by a hash of id and
     copy, so a source with a third of the rows is spread evenly.
     """
-    table = rates(docs, source_col, weights, epochs, most)
+    table = cut(rates(docs, source_col, weights, epochs, most))
     few = table.select("mix_source").limit(10_001).count() <= 10_000
     joined = docs.withColumn("mix_u", uniform(seed, id_col)).join(F.broadcast(table) if few else table, F.col(source_col).eqNullSafe(F.col("mix_source")))
     copies = F.expr("size(filter(cdf, x -> x <= mix_u))")
