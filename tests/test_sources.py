@@ -4,7 +4,6 @@ import io
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from veilmark.operators import lists, store
 from veilmark.operators.pipeline import Settings

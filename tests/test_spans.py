@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from veilmark.functions import expressions as X
 from veilmark.functions.catalog import RECOGNISERS, TAGS, Pattern, Recogniser, recognisers, stop_terms

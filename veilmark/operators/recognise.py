@@ -40,7 +40,7 @@ def recognise_texts(found: tuple[Recogniser, ...], context: Context | None = Non
     for r in found:
         for p in r.patterns:
             try:
-                compiled.append((r.entity, p.name, re.compile(p.regex, flags), p.score, tuple(c.lower() for c in r.context), "[0-9]" in p.regex))
+                compiled.append((r.entity, p.name, re.compile(p.regex, flags), p.score, tuple(c.lower() for c in r.context), r.group != "custom" and "[0-9]" in p.regex))
             except re.error:
                 continue
     digit = re.compile("[0-9]")
@@ -51,7 +51,7 @@ def recognise_texts(found: tuple[Recogniser, ...], context: Context | None = Non
         out = []
         has_digit = digit.search(text) is not None
         for entity, name, pattern, score, words, needs_digit in compiled:
-            if needs_digit and not has_digit and entity != "SWIFT_BIC" and entity not in ("MEDICARE_ID", "URL", "EMAIL_ADDRESS", "CRYPTO", "CUSIP"):
+            if needs_digit and not has_digit:  # in the catalogue this class never stands in an optional part
                 continue
             for m in pattern.finditer(text):
                 s = boosted(text, m.start(), score, words, context) if context and words else score

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import expressions as X
-from veilmark.functions.catalog import BUILTIN, RECOGNISERS, TAGS, recognisers, type_table
+from veilmark.functions.catalog import BUILTIN, RECOGNISERS, type_table
 from veilmark.operators import chunking, lists, overrides, pipeline, store
 from veilmark.operators.pipeline import Settings
 from veilmark.operators.recognise import Context, recognise
