@@ -1,14 +1,12 @@
 """Near copies, repeats, components, top-k, mixing, surrogates and the pipeline against plain versions."""
 
 import re
-import zlib
 import random
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from veilmark.llm import bit_sliced, components, mixing, near_dedup, repeats, surrogates
 

@@ -5,8 +5,6 @@ import random
 import zlib
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 from veilmark.llm import page_text, quality_classifier, quality_rules, sentence_pieces, token_counts
 from veilmark.llm.queries import model_file
