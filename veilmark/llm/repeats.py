@@ -66,7 +66,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
-            ids, at, fps, keys = [], [], [], []
+            ids, at, fps, keys, sizes = [], [], [], [], []
             for row, t in enumerate(b.column(1).to_pylist()):
                 h = hashed(t, words)
                 places = anchors(h)
@@ -75,12 +75,17 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ids.append(np.full(len(places), row))
                     at.append(places)
                     fps.append(fingerprints(sets))
-                    # A band: the shingle that is least after mixing with the band's key.
-                    keys.append(np.stack([mix(sets ^ k).min(axis=1) ^ k for k in _BAND_KEYS], axis=1).view(np.int64))
+                    # A band: the shingle that is least after mixing with the band's key. Paragraphs that overlap share
+                    # many; a document gives each only once, by its first paragraph, as it isn't compared with itself.
+                    own = np.stack([mix(sets ^ k).min(axis=1) ^ k for k in _BAND_KEYS], axis=1).ravel()
+                    first = np.zeros(own.size, bool)
+                    first[np.unique(own, return_index=True)[1]] = True
+                    keys.append(own[first])
+                    sizes.append(first.reshape(-1, BANDS).sum(axis=1))
             if ids:
-                flat = np.concatenate(keys).ravel()
+                ends = np.concatenate([[0], np.concatenate(sizes).cumsum()]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(fps)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))],
+                    [b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(fps)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))],
                     ["id", "at", "fp", "keys"],
                 )
 
@@ -120,20 +125,25 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     documents. Each broadcast is of at most `few` rows; beyond, Spark joins by shuffling.
     """
     all_ = cut(paragraphs(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
-    classes = cut(all_.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("at", "id").alias("at")))
+    classes = all_.groupBy("fp").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("high"))
+    classes = cut(classes.select("fp", F.col("first.id").alias("low"), F.col("first.at").alias("at"), "high"))
     bands = all_.select("fp", F.explode("keys").alias("key"))
     crowded = cut(bands.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("other")).filter("v != other").select("key", "v"))
     small = crowded.limit(few + 1).count() <= few
     pairs = cut(bands.join(F.broadcast(crowded) if small else crowded, "key").filter("fp != v").select(F.col("fp").alias("u"), "v").distinct())
     ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
-    wanted = cut(classes.join(ends, "fp", "left_semi").select("fp", F.col("low").alias("id"), "at"))
+    ends = cut(ends)
+    small = ends.limit(few + 1).count() <= few
+    wanted = cut(classes.join(F.broadcast(ends) if small else ends, "fp", "left_semi").select("fp", F.col("low").alias("id"), "at"))
     sets = cut(_sets_of(docs, wanted, id_col, text_col, few))
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("items").alias("y")), "v")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size(F.array_union("x", "y"))
-    labels = components(both.filter(100 * common >= percent * union).select("u", "v"))
-    named = classes.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = cut(named)
+    labels = cut(components(both.filter(100 * common >= percent * union).select("u", "v")).select(F.col("node").alias("fp"), "root"))
+    small = labels.limit(few + 1).count() <= few
+    # Only classes of several documents and classes with a link can belong to a repeated passage.
+    marked = classes.join(F.broadcast(labels) if small else labels, "fp", "left").filter("root IS NOT NULL OR low != high")
+    named = cut(marked.select("fp", "low", "high", F.coalesce("root", "fp").alias("root")))
     groups = named.groupBy("root").agg(F.min("low").alias("component_id"), F.max("high").alias("top")).filter("component_id != top")
     repeated = cut(named.join(groups, "root").select("fp", "component_id"))
     small = repeated.limit(few + 1).count() <= few
