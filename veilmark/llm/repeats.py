@@ -26,33 +26,42 @@ ANCHOR = WORDS + 1
 _BAND_KEYS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
+def least_of_runs(x: np.ndarray, run: int, pick=np.minimum) -> np.ndarray:
+    """The least (or most) of every run of `run` neighbours, from running minima of blocks in both directions."""
+    n = len(x) - run + 1
+    fill = np.uint64(2**64 - 1) if pick is np.minimum else np.uint64(0)
+    padded = np.full(-(-len(x) // run) * run, fill)
+    padded[: len(x)] = x
+    blocks = padded.reshape(-1, run)
+    ahead = pick.accumulate(blocks, axis=1).ravel()
+    back = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(back[:n], ahead[run - 1 : run - 1 + n])
+
+
 def anchors(h: np.ndarray) -> np.ndarray:
-    """Places of the least shingle hash of every run of ANCHOR shingles (of all, if there are fewer), where a whole paragraph follows."""
+    """Places that hold the least shingle hash of some run of ANCHOR shingles (of all, if there are fewer), where a whole paragraph follows."""
     last = len(h) + SHINGLE - 1 - WORDS
     if last < 0:
         return np.empty(0, np.int64)
     mixed = mix(h ^ np.uint64(0x5851F42D4C957F2D))
     if len(h) <= ANCHOR:
-        got = np.array([mixed.argmin()])
+        got = np.flatnonzero(mixed == mixed.min())
     else:
-        parts = []
-        for k in range(0, len(h) - ANCHOR + 1, 65_536):  # bounded memory for very long texts
-            view = np.lib.stride_tricks.sliding_window_view(mixed[k : k + 65_536 + ANCHOR - 1], ANCHOR)
-            parts.append(np.unique(view.argmin(axis=1) + np.arange(len(view))) + k)
-        got = np.unique(np.concatenate(parts))
+        least = least_of_runs(mixed, ANCHOR)
+        around = np.concatenate([np.zeros(ANCHOR - 1, np.uint64), least, np.zeros(ANCHOR - 1, np.uint64)])
+        got = np.flatnonzero(least_of_runs(around, ANCHOR, np.maximum) == mixed)
     return got[got <= last]
 
 
 def paragraph_sets(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of sorted shingle hashes for each paragraph."""
-    return np.sort(h[at[:, None] + np.arange(WORDS - SHINGLE + 1)], axis=1)
+    """A row of shingle hashes for each paragraph."""
+    return h[at[:, None] + np.arange(WORDS - SHINGLE + 1)]
 
 
-def fingerprints(sets: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(sets), np.uint64)
-    for k in range(sets.shape[1]):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + sets[:, k])
-    return out.view(np.int64)
+def fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each paragraph's shingles that doesn't depend on their order: a sum of mixed hashes."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x2545F4914F6CDD1D)))])
+    return mix(sums[at + WORDS - SHINGLE + 1] - sums[at]).view(np.int64)
 
 
 def hashed(text: str | None, words: WordHashes) -> np.ndarray:
@@ -71,13 +80,12 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h = hashed(t, words)
                 places = anchors(h)
                 if len(places):
-                    sets = paragraph_sets(h, places)
                     ids.append(np.full(len(places), row))
                     at.append(places)
-                    fps.append(fingerprints(sets))
+                    fps.append(fingerprints(h, places))
                     # A band: the shingle that is least after mixing with the band's key. Paragraphs that overlap share
                     # many; a document gives each only once, by its first paragraph, as it isn't compared with itself.
-                    own = np.stack([mix(sets ^ k).min(axis=1) ^ k for k in _BAND_KEYS], axis=1).ravel()
+                    own = np.stack([paragraph_sets(mix(h ^ k), places).min(axis=1) ^ k for k in _BAND_KEYS], axis=1).ravel()
                     first = np.zeros(own.size, bool)
                     first[np.unique(own, return_index=True)[1]] = True
                     keys.append(own[first])
@@ -106,9 +114,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, few
                 h = hashed(t, words)
                 at = np.array([a for a in set(ats) if a + WORDS - SHINGLE < len(h)], np.int64)  # an id may stand for several texts
                 if len(at):
-                    sets = paragraph_sets(h, at)
-                    fps.append(fingerprints(sets))
-                    items.append(sets)
+                    fps.append(fingerprints(h, at))
+                    items.append(paragraph_sets(h, at))
             if fps:
                 flat = np.concatenate(items)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.ravel().view(np.int64)))], ["fp", "items"])
