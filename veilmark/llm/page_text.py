@@ -192,12 +192,11 @@ def low_branches(pages: DataFrame, url_col: str, html_col: str, least: float, pa
 
     leaves = pages.select(_host(F.col(url_col)).alias("host"), html_col).filter("host != ''").mapInArrow(run, "host string, path bigint, content bigint, kind bigint, page bigint")
     seen = leaves.distinct().groupBy("host", "path", "kind", "content").agg(F.count(F.lit(1)).alias("df"))
-    pages_of = seen.filter("kind = 1").groupBy("host", "path").agg(F.sum("df").alias("m"))
-    both = seen.join(pages_of, ["host", "path"]).filter(f"m >= {pages_needed}")
-    # Content: mean of 1 - log_m(df) over its occurrences. Presentation: entropy to the base m of its child sequences.
-    content = F.sum(F.expr("CASE WHEN kind = 0 THEN df * (1 - ln(least(df, m)) / ln(m)) END")) / F.sum(F.expr("CASE WHEN kind = 0 THEN df END"))
-    shown = F.sum(F.expr("CASE WHEN kind = 1 THEN -(df / m) * ln(df / m) / ln(m) END"))
-    tree = both.groupBy("host", "path").agg((0.9 * content + 0.1 * shown).alias("importance"))
+    # With m pages that have the path: content is the mean of 1 - log_m(df) over occurrences, presentation the entropy to
+    # the base m of the child sequences. Both are ratios of sums over the counts, which add up before the shuffle.
+    of_kind = lambda k, e: F.sum(F.expr(f"CASE WHEN kind = {k} THEN {e} ELSE 0 END"))
+    sums = seen.groupBy("host", "path").agg(of_kind(1, "df").alias("m"), of_kind(1, "df * ln(df)").alias("m_ln"), of_kind(0, "df").alias("n"), of_kind(0, "df * ln(df)").alias("n_ln")).filter(f"m >= {pages_needed} AND n > 0")
+    tree = sums.select("host", "path", F.expr("0.9 * (1 - n_ln / (n * ln(m))) + 0.1 * (1 - m_ln / (m * ln(m)))").alias("importance"))
     return tree.filter(F.col("importance") < least).groupBy("host").agg(F.collect_set("path").alias("low"))
 
 
