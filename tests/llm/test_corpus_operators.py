@@ -124,6 +124,57 @@ def test_near_repeats(spark):
     assert sum(r.n_words for r in rows) > 100
 
 
+def linked_by_hand(texts):
+    """Words of each text that lie in a paragraph whose cluster, by all cross-document pairs held against each other, reaches over documents."""
+    found = []
+    for d, t in enumerate(texts):
+        h = repeats.hashed(t, repeats.WordHashes())
+        found += [(d, int(a), frozenset(h[a : a + repeats.WORDS - repeats.SHINGLE + 1].tolist())) for a in repeats.anchors(h)]
+    links = []
+    for i, (d, _, x) in enumerate(found):
+        for j, (e, _, y) in enumerate(found[:i]):
+            # Equal paragraphs are one class, in one document as well.
+            if x == y or d != e and 100 * len(x & y) >= 80 * len(x | y):
+                links.append((i, j))
+    top = groups(len(found), links)
+    docs_of = {}
+    for g, (d, _, _) in zip(top, found):
+        docs_of.setdefault(g, set()).add(d)
+    return {(d, w) for g, (d, a, _) in zip(top, found) if len(docs_of[g]) > 1 for w in range(a, a + repeats.WORDS)}
+
+
+def covered(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {(r.doc_id, w) for r in repeats.repeated_passages(docs).collect() for w in range(r.start_word, r.end_word)}
+
+
+def overlapping_copies():
+    rng = random.Random(12)
+    texts = []
+    for p in range(40):
+        words = [f"p{p}x{rng.randrange(10**6)}" for _ in range(150)]
+        # The copy has only 27 words of the middle, with other words around and one of the outer words changed.
+        at = rng.randrange(50, 90)
+        part = words[at : at + 27]
+        part[rng.choice([0, 1, 25, 26])] = "changed"
+        texts += [" ".join(words), " ".join([f"l{p}x{k}" for k in range(40)] + part + [f"r{p}x{k}" for k in range(40)])]
+    return texts
+
+
+def test_repeats_all_keys(spark):
+    """A near copy of a later paragraph that overlaps an earlier one of its document shares all band keys with it."""
+    texts = overlapping_copies()
+    keys = {}
+    for r in repeats.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect():
+        keys[r.id, r["at"]] = r["keys"]
+    for (d, a), got in keys.items():
+        h = repeats.hashed(texts[d], repeats.WordHashes())[a : a + repeats.WORDS - repeats.SHINGLE + 1]
+        assert [int(np.int64(k)) for k in got] == [int((min(repeats.mix(h ^ k)) ^ k).view(np.int64)) for k in repeats._BAND_KEYS]
+    want = linked_by_hand(texts)
+    got = covered(spark, texts)
+    assert got <= want and len(got) > 0.75 * len(want)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(7)
     vs = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(230, 6)) / 2)]

@@ -75,7 +75,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
-            ids, at, fps, keys, sizes = [], [], [], [], []
+            ids, at, fps, keys = [], [], [], []
             for row, t in enumerate(b.column(1).to_pylist()):
                 h = hashed(t, words)
                 places = anchors(h)
@@ -83,17 +83,13 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ids.append(np.full(len(places), row))
                     at.append(places)
                     fps.append(fingerprints(h, places))
-                    # A band: the shingle that is least after mixing with the band's key. Paragraphs that overlap share
-                    # many; a document gives each only once, by its first paragraph, as it isn't compared with itself.
-                    own = np.stack([paragraph_sets(mix(h ^ k), places).min(axis=1) ^ k for k in _BAND_KEYS], axis=1).ravel()
-                    first = np.zeros(own.size, bool)
-                    first[np.unique(own, return_index=True)[1]] = True
-                    keys.append(own[first])
-                    sizes.append(first.reshape(-1, BANDS).sum(axis=1))
+                    # A band: the shingle that is least after mixing with the band's key.
+                    keys.append(np.stack([paragraph_sets(mix(h ^ k), places).min(axis=1) ^ k for k in _BAND_KEYS], axis=1).ravel())
             if ids:
-                ends = np.concatenate([[0], np.concatenate(sizes).cumsum()]).astype(np.int32)
+                flat = np.concatenate(keys).view(np.int64)
+                ends = np.arange(0, flat.size + 1, BANDS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(fps)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))],
+                    [b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(fps)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     ["id", "at", "fp", "keys"],
                 )
 
@@ -134,8 +130,10 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     all_ = cut(paragraphs(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
     classes = all_.groupBy("fp").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("high"))
     classes = cut(classes.select("fp", F.col("first.id").alias("low"), F.col("first.at").alias("at"), "high"))
-    bands = all_.select("fp", F.explode("keys").alias("key"))
-    crowded = cut(bands.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("other")).filter("v != other").select("key", "v"))
+    bands = all_.select("fp", "id", F.explode("keys").alias("key"))
+    # Every paragraph has all its keys; a key that only one document has makes no pair, as a document isn't compared with itself.
+    crowded = bands.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("other"), F.min("id").alias("low"), F.max("id").alias("high"))
+    crowded = cut(crowded.filter("v != other AND low != high").select("key", "v"))
     small = crowded.limit(few + 1).count() <= few
     pairs = cut(bands.join(F.broadcast(crowded) if small else crowded, "key").filter("fp != v").select(F.col("fp").alias("u"), "v").distinct())
     ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
@@ -146,7 +144,10 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("items").alias("y")), "v")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size(F.array_union("x", "y"))
-    labels = cut(components(both.filter(100 * common >= percent * union).select("u", "v")).select(F.col("node").alias("fp"), "root"))
+    links = both.filter(100 * common >= percent * union).select("u", "v")
+    for end in ("u", "v"):
+        links = links.join(classes.select(F.col("fp").alias(end), F.struct("low", "high").alias(f"{end}_in")), end)
+    labels = cut(components(links.filter("NOT (u_in = v_in AND u_in.low = u_in.high)")).select(F.col("node").alias("fp"), "root"))
     small = labels.limit(few + 1).count() <= few
     # Only classes of several documents and classes with a link can belong to a repeated passage.
     marked = classes.join(F.broadcast(labels) if small else labels, "fp", "left").filter("root IS NOT NULL OR low != high")
