@@ -175,6 +175,38 @@ def test_repeats_all_keys(spark):
     assert got <= want and len(got) > 0.75 * len(want)
 
 
+@pytest.mark.parametrize("block", [8192, 3])
+def test_repeats_whole_buckets(spark, monkeypatch, block):
+    """Near copies in the bucket of a frequent phrase are found, whatever else is in it."""
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "LOT", block)
+    rng = random.Random(13)
+    texts = overlapping_copies()
+    for p in range(30):
+        words = [f"h{rng.randrange(10**6)}" for _ in range(26)] + "as it was in the beginning".split() + [f"t{rng.randrange(10**6)}" for _ in range(26)]
+        for at in (0, 57)[: 1 + p % 2]:
+            copy = [*words[:at], "other", *words[at + 1 :]]
+            texts.append(" ".join(copy))
+        texts.append("same " * 30 + f"end{p} " + "same " * 12)
+    assert covered(spark, texts) == linked_by_hand(texts)
+
+
+def test_links_of_a_group():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (12, 21)).astype(np.uint64)
+    rows = np.repeat(base, 12, axis=0)
+    for r in rows:
+        for _ in range(rng.integers(0, 4)):
+            r[rng.integers(21)] = rng.integers(0, 2**63) if rng.random() < 0.7 else r[rng.integers(21)]
+    n = len(rows)
+    group, side, doc = rng.integers(0, 2, n), rng.integers(0, 2, n), rng.integers(0, 30, n)
+    sets = [set(r.tolist()) for r in rows]
+    for across in (False, True):
+        want = [(i, j) for i in range(n) for j in range(i) if group[i] == group[j] and (doc[i] != doc[j] or not doc[i]) and not (across and side[i] == side[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        u, v = repeats._links(group, side, np.full(n, across), doc, rows, 80)
+        assert {(max(p), min(p)) for p in zip(u.tolist(), v.tolist())} <= set(want) and groups(n, want) == groups(n, zip(u.tolist(), v.tolist()))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(7)
     vs = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(230, 6)) / 2)]

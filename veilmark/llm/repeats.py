@@ -5,8 +5,8 @@ shingles the one with the least hash is an anchor, and the 25 words from an anch
 passage of 50 words that two documents share has such a paragraph in common, wherever it stands. A
 paragraph is known by a fingerprint of its shingles; paragraphs with equal fingerprints are one class. Four
 minima, each a band of its own, find nearly equal classes (at a similarity of 0.8 all but 0.2 % of the pairs);
-each is compared with the least class of its bucket on the full sets of shingles. Links give clusters, and in
-a cluster that reaches over documents the first paragraph is kept.
+all classes of a bucket are searched, in blocks of bounded size, for pairs of different documents that are alike on their
+full sets of shingles. Links give clusters, and in a cluster that reaches over documents the first paragraph is kept.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from veilmark.llm.components import components
 
 SHINGLE, WORDS, BANDS = 5, 25, 4
 ANCHOR = WORDS + 1
+#: Classes of a bucket that are searched at once, and pairs that are compared at once.
+BLOCK, LOT = 8192, 100_000
 _BAND_KEYS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -119,6 +122,121 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, few
     return rows.mapInArrow(run, "fp bigint, items array<bigint>").groupBy("fp").agg(F.first("items").alias("items"))
 
 
+def _pairs(group: np.ndarray, small: np.ndarray, spare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group that share one of their `small` values (spare ones don't count), in bounded lots."""
+    n, k = small.shape
+    row = np.repeat(np.arange(n), k)[~spare.ravel()]
+    value = small.ravel()[~spare.ravel()]
+    order = np.lexsort((row, value, group[row]))
+    row, value = row[order], value[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (value[1:] != value[:-1]) | (group[row[1:]] != group[row[:-1]])
+    starts = np.flatnonzero(new)
+    after = np.append(starts[1:], len(row))[np.cumsum(new) - 1] - np.arange(len(row)) - 1  # rows of the run behind each
+    done = np.cumsum(after)
+    at = 0
+    while at < len(row):
+        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + LOT, "right")))
+        m = after[at:end]
+        left = np.repeat(np.arange(at, end), m)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
+        if len(left):
+            yield row[left], row[right]
+        at = end
+
+
+def _links(group: np.ndarray, side: np.ndarray, across: np.ndarray, doc: np.ndarray, sets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows u, v that connect what any alike pair of one group connects. In a group that is `across`, pairs are of different sides; doc 0: several.
+
+    Alike sets of n and m values have `percent` of the greater in common, so they share one of the
+    n - ceil(percent n) + 1 least values of either, whatever the order.
+    """
+    sets = np.sort(sets, axis=1)
+    n, width = sets.shape
+    spare = np.zeros(sets.shape, bool)
+    spare[:, 1:] = sets[:, 1:] == sets[:, :-1]
+    size = width - spare.sum(axis=1)
+    # Repeated values give way to ones that no other row has, behind the others.
+    if spare.any():
+        for r in np.flatnonzero(spare.any(axis=1)):
+            kept = sets[r][~spare[r]]
+            sets[r, : size[r]] = kept
+            sets[r, size[r] :] = mix(np.arange(size[r], width, dtype=np.uint64) + np.uint64(r * width) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+            spare[r] = np.arange(width) >= size[r]
+    prefix = size - -(-percent * size // 100) + 1
+    head = int(prefix.max())
+    comp = np.arange(n)
+    us, vs = [], []
+    for a, b in _pairs(group, sets[:, :head], np.arange(head) >= prefix[:, None]):
+        ok = (comp[a] != comp[b]) & ~((doc[a] == doc[b]) & (doc[a] != 0)) & ~(across[a] & (side[a] == side[b]))
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        both = np.sort(np.concatenate([sets[a], sets[b]], axis=1), axis=1)
+        common = (both[:, 1:] == both[:, :-1]).sum(axis=1)
+        ok = 100 * common >= percent * (size[a] + size[b] - common)
+        a, b = a[ok], b[ok]
+        while len(a):
+            # The greater component of each link joins the least that it is linked with, until no link leads out of one.
+            x, y = np.maximum(comp[a], comp[b]), np.minimum(comp[a], comp[b])
+            order = np.lexsort((y, x))
+            first = order[np.r_[True, x[order][1:] != x[order][:-1]]]
+            us.append(a[first])
+            vs.append(b[first])
+            to = np.arange(n)
+            to[x[first]] = y[first]
+            while (to[to] != to).any():
+                to = to[to]
+            comp = to[comp]
+            out = comp[a] != comp[b]
+            a, b = a[out], b[out]
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def links_of_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links u, v of alike classes of different documents within each bucket, enough to connect what any link of the bucket connects.
+
+    members: key, fp, doc (null: several). A bucket of over BLOCK classes is cut in blocks, and each pair of blocks is a group of its own.
+    """
+    large = cut(members.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")))
+    if large.isEmpty():
+        dealt = members.withColumn("mine", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    else:
+        dealt = members.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("int"))
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    rows = dealt.join(sets, "fp").select("key", "i", "j", "mine", "fp", F.coalesce("doc", F.lit(0)).alias("doc"), "items")
+
+    def search(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, i, j, side, fp, doc = (t.column(c).to_numpy() for c in range(6))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        end = len(key) if last else int(np.flatnonzero(new)[-1])  # the last group may go on
+        if not end:
+            return None, held
+        flat = pa.compute.list_flatten(t.column(6).slice(0, end)).to_numpy().view(np.uint64).reshape(end, -1)
+        u, v = _links(np.cumsum(new)[:end], side[:end], (i != j)[:end], doc[:end], flat, percent)
+        return pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["u", "v"]), t.slice(end).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, due = [], 0, 2 * BLOCK
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= due:
+                out, held = search(held, False)
+                n = sum(h.num_rows for h in held)
+                due = n + 2 * BLOCK
+                if out is not None:
+                    yield out
+        if held:
+            yield search(held, True)[0]
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u bigint, v bigint")
+
+
 def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", few: int = 1_000_000) -> DataFrame:
     """doc id, start_word, end_word, n_words, component_id and kept: a row for each repeated passage of each document.
 
@@ -131,23 +249,18 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     classes = all_.groupBy("fp").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("high"))
     classes = cut(classes.select("fp", F.col("first.id").alias("low"), F.col("first.at").alias("at"), "high"))
     bands = all_.select("fp", "id", F.explode("keys").alias("key"))
-    # Every paragraph has all its keys; a key that only one document has makes no pair, as a document isn't compared with itself.
+    # A key that only one document has makes no pair, as a document isn't compared with itself.
     crowded = bands.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("other"), F.min("id").alias("low"), F.max("id").alias("high"))
-    crowded = cut(crowded.filter("v != other AND low != high").select("key", "v"))
+    crowded = cut(crowded.filter("v != other AND low != high").select("key"))
     small = crowded.limit(few + 1).count() <= few
-    pairs = cut(bands.join(F.broadcast(crowded) if small else crowded, "key").filter("fp != v").select(F.col("fp").alias("u"), "v").distinct())
-    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
-    ends = cut(ends)
+    members = bands.join(F.broadcast(crowded) if small else crowded, "key").groupBy("key", "fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    # doc: a mark of the document of a class that only one has.
+    members = cut(members.select("key", "fp", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).alias("doc")))
+    ends = cut(members.select("fp").distinct())
     small = ends.limit(few + 1).count() <= few
     wanted = cut(classes.join(F.broadcast(ends) if small else ends, "fp", "left_semi").select("fp", F.col("low").alias("id"), "at"))
-    sets = cut(_sets_of(docs, wanted, id_col, text_col, few))
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("items").alias("y")), "v")
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size(F.array_union("x", "y"))
-    links = both.filter(100 * common >= percent * union).select("u", "v")
-    for end in ("u", "v"):
-        links = links.join(classes.select(F.col("fp").alias(end), F.struct("low", "high").alias(f"{end}_in")), end)
-    labels = cut(components(links.filter("NOT (u_in = v_in AND u_in.low = u_in.high)")).select(F.col("node").alias("fp"), "root"))
+    sets = _sets_of(docs, wanted, id_col, text_col, few)
+    labels = cut(components(cut(links_of_buckets(members, sets, percent))).select(F.col("node").alias("fp"), "root"))
     small = labels.limit(few + 1).count() <= few
     # Only classes of several documents and classes with a link can belong to a repeated passage.
     marked = classes.join(F.broadcast(labels) if small else labels, "fp", "left").filter("root IS NOT NULL OR low != high")
