@@ -302,6 +302,21 @@ def test_surrogates_stay_distinct(spark):
         assert one == two[::-1] and len(set(one)) == len(values) and not any(a == b for a, b in zip(one, values))
 
 
+def test_surrogates_without_digits_and_long(spark):
+    """Secrets without any digit, and longer than any usual one, are replaced wherever they stand, and alike."""
+    aws, slack, token = "AKIA" + "QWERTYUIOPASDFGH", "xoxb-" + "abcdefghijklmnopqr", "abcdefab" * 4
+    long = ["sk-" + "aB3d" * 100, "eyJ" + ".".join("Zz9_" * n for n in (5, 900, 20)), "0f" * 3000, "long.name" * 20 + "@mail.example.com", "me@" + "a.b." * 9 + "example.com", "q" * 30 + "w7" * 50_000 + "@example.com"]
+    texts = [f"a {aws} b {slack} c {token} d", f"1 {aws} b {slack} c {token} d", *(f"see {x} there" for x in long)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs, "k").collect()}
+    assert got[0].n_entities == got[1].n_entities == 3 and got[0].text[1:] == got[1].text[1:]
+    assert not any(x in got[0].text for x in (aws, slack, token))
+    for i, x in enumerate(long):
+        new = got[i + 2].text.split()
+        assert got[i + 2].n_entities == 1 and new[0] == "see" and new[2] == "there" and len(new[1]) == len(x)
+        assert not any(x[k : k + 40] in new[1] for k in range(0, len(x) - 40, 40)), i
+
+
 def test_native_plan(spark):
     df = surrogates.pseudonymise(spark.createDataFrame([(1, MAIL)], "doc_id long, text string"), "k")
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()

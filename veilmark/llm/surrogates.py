@@ -45,11 +45,11 @@ _NAME = r"\p{Lu}\p{Ll}+(?:[-']\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(n for ns in FIRST.values() for n in ns)
 
-#: Type and pattern, in the order in which they are tried at one place. Runs are bounded or can't be retried, so matching is linear.
+#: Type and pattern, in the order in which they are tried at one place. Runs have no upper bound where the value has none; they can't be retried, so matching is linear.
 PATTERNS: dict[str, str] = {
-    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    "KEY": NOT_BEFORE + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk|ghp|gho|ghs|glpat|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,200}+|eyJ[A-Za-z0-9_-]{8,2000}+\.[A-Za-z0-9_-]{8,2000}+\.[A-Za-z0-9_-]{8,2000}+)" + NOT_AFTER,
-    "TOKEN": NOT_BEFORE + r"(?:[0-9a-f]{32,4000}+|[0-9A-F]{32,4000}+)" + NOT_AFTER,
+    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "KEY": NOT_BEFORE + r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk|ghp|gho|ghs|glpat|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)" + NOT_AFTER,
+    "TOKEN": NOT_BEFORE + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + NOT_AFTER,
     "IBAN": NOT_BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + NOT_AFTER,
     "SSN": NOT_BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + NOT_AFTER,
     "IP": r"(?<![\p{L}\p{N}.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?![\p{L}\p{N}]|\.[0-9])",
@@ -58,10 +58,10 @@ PATTERNS: dict[str, str] = {
     "PERSON": NOT_BEFORE + rf"(?:(?:{_TITLE}|Dr|Prof)\.? (?:{_NAME})(?: {_NAME})?|(?:{_GIVEN}) {_NAME})" + NOT_AFTER,
 }
 PATTERNS["PERSON"] = r"(?=[\p{Lu}г])" + PATTERNS["PERSON"]
-#: Only texts with a digit or an at sign are searched for what needs one; a token or key without any digit is no token.
+#: Only texts with a digit or an at sign are searched for what needs one; names, keys and tokens need neither.
 ANY = "|".join(PATTERNS.values())
 NO_MAIL = r"(?=[0-9a-z\p{Lu}г+(])(?:" + "|".join(p for t, p in PATTERNS.items() if t != "EMAIL") + ")"
-ONLY_PERSON = PATTERNS["PERSON"]
+NO_DIGIT = NOT_BEFORE + r"(?=[\p{Lu}гa-gprsx])(?:" + "|".join(PATTERNS[t] for t in ("KEY", "TOKEN", "PERSON")) + ")"
 
 
 def q(text: str) -> str:
@@ -99,8 +99,9 @@ def _gender(m: str) -> str:
 
 
 def _stream(seed: str, n: str, var: str) -> str:
-    """Hex digits from the seed, two for each of n characters at least."""
-    return f"array_join(transform(sequence(0, cast({n} * 2 div 64 as int)), {var} -> sha2(concat({seed}, '|', {var}), 256)), '')"
+    """Blocks of 64 hex digits from the seed, two digits for each of n characters at least. A long seed is hashed first, so that work stays linear."""
+    own = f"CASE WHEN {n} > 4000 THEN sha2({seed}, 256) ELSE {seed} END"
+    return _one(f"transform(sequence(0, cast({n} * 2 div 64 as int)), {var} -> sha2(concat({var}o, '|', {var}), 256))", own, f"{var}o")
 
 
 def _number(hexes: str) -> str:
@@ -125,13 +126,14 @@ def _luhn(payload: str, v: str) -> str:
 
 def _by_class(text: str, stream: str, v: str, hexes: bool = False) -> str:
     """Each letter or digit of a text by one of its class; other signs stay."""
-    c, n = f"substring({text}, {v}j, 1)", _number(f"substring({stream}, 2 * {v}j - 1, 2)")
+    c, n = f"{v}c", _number(f"substring({v}b[cast({v}j div 32 as int)], 2 * ({v}j % 32) + 1, 2)")
     lower, upper, cyr = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя"
     pick = lambda s: f"substring('{s}', cast({n} % {len(s)} as int) + 1, 1)"
     hex_case = f"WHEN {c} rlike '[0-9a-f]' THEN {pick('0123456789abcdef')} WHEN {c} rlike '[0-9A-F]' THEN {pick('0123456789ABCDEF')}" if hexes else ""
-    return f"""array_join(transform(sequence(1, length({text})), {v}j -> CASE {hex_case}
+    each = f"""array_join(transform(split({text}, ''), ({v}c, {v}j) -> CASE {hex_case}
         WHEN {c} rlike '[0-9]' THEN {pick('0123456789')} WHEN {c} rlike '[A-Z]' THEN {pick(upper)}
         WHEN {c} rlike '\\\\p{{IsCyrillic}}' THEN {pick(cyr)} WHEN {c} rlike '\\\\p{{Lu}}' THEN {pick(upper)} WHEN {c} rlike '\\\\p{{L}}' THEN {pick(lower)} ELSE {c} END), '')"""
+    return _one(each, stream, f"{v}b")
 
 
 def _person(seed: str, norm: str, attempt: str) -> str:
@@ -182,7 +184,7 @@ def _written(t: str, m: str, s: str) -> str:
     place = f"length(regexp_replace(left({m}, wj), '[^0-9A-Za-z]', ''))"
     digits = f"regexp_replace({s}, '[^0-9A-Z]', '')"
     filled = f"array_join(transform(sequence(1, length({m})), wj -> CASE WHEN {c} rlike '[0-9A-Z]' THEN substring({digits}, {place}, 1) ELSE {c} END), '')"
-    cased = f"array_join(transform(sequence(1, length({m})), wj -> CASE WHEN {c} rlike '\\\\p{{Lu}}' THEN upper(substring({s}, wj, 1)) ELSE substring({s}, wj, 1) END), '')"
+    cased = f"array_join(zip_with(split({m}, ''), split({s}, ''), (wa, wb) -> CASE WHEN wa rlike '\\\\p{{Lu}}' THEN upper(wb) ELSE wb END), '')"
     title = f"regexp_extract({m}, {q(f'^(?:{_TITLE}|Dr|Prof)[.]? ')}, 0)"
     names = f"substring({s}, 3)"
     one = f"{m} rlike {q(f'^(?:{_TITLE}|Dr|Prof)[.]? {_NAME}$')}"
@@ -197,7 +199,7 @@ def _one(expr: str, value: str, name: str) -> str:
 
 def _cases(text: str, call: str) -> str:
     """A call with the least pattern that a text needs; {p} is its place."""
-    return f"CASE WHEN contains({text}, '@') THEN {call.format(p=q(ANY))} WHEN {text} rlike '[0-9]' THEN {call.format(p=q(NO_MAIL))} ELSE {call.format(p=q(ONLY_PERSON))} END"
+    return f"CASE WHEN contains({text}, '@') THEN {call.format(p=q(ANY))} WHEN {text} rlike '[0-9]' THEN {call.format(p=q(NO_MAIL))} ELSE {call.format(p=q(NO_DIGIT))} END"
 
 
 def hits(text: str) -> str:
