@@ -12,8 +12,8 @@ the value it stands for:
   Cyrillic), from a keyed stream; a domain's stream depends on the domain only;
 - persons behind a title or a known first name: a first name of the same gender and script, a made-up surname.
 
-All distinct values of the corpus are then checked: where two would share a surrogate, or one would keep
-its own value, the larger value tries again with the next attempt number until none is left.
+All distinct values of the corpus are then checked: where two would share what is written of their surrogates (a
+surname alone behind a title), or one would keep its own value, the larger value tries again with the next attempt number until none is left.
 """
 
 from __future__ import annotations
@@ -192,6 +192,11 @@ def _written(t: str, m: str, s: str) -> str:
         WHEN {t} = 'PERSON' THEN concat({title}, CASE WHEN {one} THEN substring_index({names}, ' ', -1) ELSE {names} END) ELSE {s} END"""
 
 
+def _told(t: str, norm: str, s: str) -> str:
+    """What a surrogate tells in a text: of a person only the surname, if the value is one behind a title, or the names, without the gender."""
+    return f"CASE WHEN {t} = 'PERSON' THEN CASE WHEN contains({norm}, ' ') THEN substring({s}, 3) ELSE substring_index({s}, ' ', -1) END ELSE {s} END"
+
+
 def _one(expr: str, value: str, name: str) -> str:
     """Binds a name to a value inside an expression."""
     return f"transform(array({value}), {name} -> {expr})[0]"
@@ -218,15 +223,17 @@ def values(docs: DataFrame, key: str, id_col: str, text_col: str, rounds: int =
     found = docs.select(F.col(id_col).alias("id"), F.explode(mentions(text_col)).alias("e"))
     found = cut(found.select("id", "e.type", "e.norm").distinct())
     every = found.select("type", "norm").distinct().withColumn("attempt", F.lit(0))
-    now = cut(every.withColumn("s", F.expr(_surrogate(key, "type", "norm", "attempt"))))
+    told = F.expr(_told("type", "norm", _surrogate(key, "type", "norm", "attempt")))
+    own = F.expr("CASE WHEN type = 'PERSON' THEN substring(norm, 3) ELSE norm END")
+    now = cut(every.withColumn("s", told))
     for _ in range(rounds):
         first = now.groupBy("type", "s").agg(F.min(F.struct("attempt", "norm")).alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         clash = now.join(first, ["type", "s"]).filter("norm != owner.norm").select("type", "norm")
-        bad = cut(clash.union(now.filter("s = norm AND length(norm) > 2").select("type", "norm")).distinct().withColumn("bad", F.lit(1)))
+        bad = cut(clash.union(now.filter((F.col("s") == own) & (F.length("norm") > 2)).select("type", "norm")).distinct().withColumn("bad", F.lit(1)))
         if bad.isEmpty():
             return found, now.filter("attempt > 0").select("type", "norm", "attempt")
         again = now.join(bad, ["type", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(0)))
-        now = cut(again.withColumn("s", F.when(F.col("bad") == 1, F.expr(_surrogate(key, "type", "norm", "attempt"))).otherwise(F.col("s"))).drop("bad"))
+        now = cut(again.withColumn("s", F.when(F.col("bad") == 1, told).otherwise(F.col("s"))).drop("bad"))
     raise RuntimeError("surrogates still collide; the space of a type is too small for its values")
 
 
