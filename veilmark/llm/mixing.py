@@ -2,7 +2,8 @@
 
 Every source has a mean repetition rate: (its target share) x (documents wanted) / (its documents). A
 document's number of copies is a Poisson variable with that mean, found by inverting the distribution at
-a uniform number that is a hash of seed and id. The copies are dealt out by a hash, so that their
+a uniform number that is a hash of seed and id. A mean over PART is the sum of equal means of at most PART, each with
+a number of its own, as sums of Poisson variables are Poisson and exp(-mean) must not vanish. The copies are dealt out by a hash, so that their
 order is a uniform shuffle of the whole.
 """
 
@@ -15,6 +16,10 @@ from veilmark.llm.common import cut
 
 #: 13 hex digits: what a double holds exactly.
 HASH_RANGE = float(16**13)
+#: The largest mean that is inverted at once: exp(-PART) is still a normal double.
+PART = 700
+#: Copies of a document that are numbered in one array.
+RUN = 10_000
 
 
 def uniform(seed: str, *columns: str) -> Column:
@@ -23,11 +28,16 @@ def uniform(seed: str, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(HASH_RANGE)
 
 
-def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, epochs: float, most: int) -> DataFrame:
-    """A row a source: rate, and cdf: the distribution function at 0, 1, ... while a count above it is possible.
+def _sql(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, epochs: float, most: int | None) -> DataFrame:
+    """A row a source: rate, parts, and cdf: the distribution function of a part at 0, 1, ... while a count above it is possible.
 
     weights: the target share of each source, in any unit; sources without one get none of the mixture, and
-    None gives all sources the same share. A rate over `most` is an error, not a cap: it would repeat each document that often.
+    None gives all sources the same share. A rate over `most`, if that is given, is an error, not a cap.
     """
     sizes = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("size"))
     share = F.lit(1.0)
@@ -37,29 +47,43 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, ep
     shares, docs_in_all = one.agg(F.sum("share"), F.sum("size")).first()
     rate = F.expr(f"share / {float(shares or 0)!r}D * {float(docs_in_all or 0)!r}D / size") * F.lit(float(epochs)) if shares else F.lit(0.0)
     rated = one.select("mix_source", rate.alias("rate"))
-    rated = rated.withColumn("rate", F.when(F.col("rate") <= most, F.col("rate")).otherwise(F.raise_error(F.lit(f"a source would be repeated over {most} times"))))
-    terms = F.expr(f"""transform(aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 40) as int)),
-        named_struct('p', exp(-rate), 'all', array(exp(-rate))),
-        (s, k) -> named_struct('p', s.p * rate / k, 'all', concat(s.all, array(s.all[size(s.all) - 1] + s.p * rate / k)))).all, x -> x)""")
-    return rated.withColumn("cdf", terms)
+    if most is not None:
+        rated = rated.withColumn("rate", F.when(F.col("rate") <= most, F.col("rate")).otherwise(F.raise_error(F.lit(f"a source would be repeated over {most} times"))))
+    rated = rated.withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")).withColumn("part", F.col("rate") / F.col("parts"))
+    terms = F.expr("""transform(aggregate(sequence(1, cast(ceil(part + 12 * sqrt(part) + 40) as int)),
+        named_struct('p', exp(-part), 'all', array(exp(-part))),
+        (s, k) -> named_struct('p', s.p * part / k, 'all', concat(s.all, array(s.all[size(s.all) - 1] + s.p * part / k)))).all, x -> x)""")
+    return rated.withColumn("cdf", terms).drop("part")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", most: int = 500, copy_col: str | None = "copy") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", most: int | None = None, copy_col: str | None = "copy") -> DataFrame:
     """All columns of docs, a row a copy, and the copy's number from 0 in `copy_col` if that is named.
 
     A null source is a source of its own; a null id hashes as an empty text. Rows repeated with one id get
     the same count. An empty table gives an empty one. The join with the rates is by source, and the
-    rates (a row a source, of at most about 1,000 numbers) are broadcast if they are fewer than 10,000
+    rates (a row a source, of at most about 1,100 numbers) are broadcast if they are fewer than 10,000
     sources; else Spark joins by shuffling. The shuffle moves each copy once, dealt by a hash of id and
     copy, so a source with a third of the rows is spread evenly.
     """
     table = cut(rates(docs, source_col, weights, epochs, most))
     few = table.select("mix_source").limit(10_001).count() <= 10_000
     joined = docs.withColumn("mix_u", uniform(seed, id_col)).join(F.broadcast(table) if few else table, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    copies = F.expr("size(filter(cdf, x -> x <= mix_u))")
     name = copy_col or "mix_copy"
     base = [c for c in docs.columns if c != name]
-    out = joined.withColumn("mix_n", copies).filter("mix_n > 0").select(*base, F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)).alias(name))
+    copies = F.expr("size(filter(cdf, x -> x <= mix_u))")
+    if table.filter("parts > 1").isEmpty():
+        numbers = F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1))
+    else:
+        # The first part has the number of an undivided mean, each other one of its own.
+        more = F.expr(f"""CASE WHEN parts < 2 THEN 0 ELSE aggregate(sequence(1, parts - 1), 0, (n, k) -> n + aggregate(
+            array(cast(conv(substring(md5(cast(concat({_sql(seed + "-part-")}, k, '|', mix_id) as binary)), 1, 13), 16, 10) as double) / {HASH_RANGE!r}D), 0, (m, u) -> size(filter(cdf, x -> x <= u)))) END""")
+        joined = joined.withColumn("mix_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+        copies = copies + more
+        numbers = F.explode(F.expr(f"sequence(mix_from, least(mix_n, mix_from + {RUN}) - 1)"))
+    out = joined.withColumn("mix_n", copies).filter("mix_n > 0")
+    if "mix_id" in joined.columns:
+        out = out.select(*base, "mix_n", F.explode(F.expr(f"sequence(0, mix_n - 1, {RUN})")).alias("mix_from"))
+    out = out.select(*base, numbers.alias(name))
     out = out.withColumn("mix_key", uniform(seed + "-order", id_col, name))
     return out.repartition("mix_key").sortWithinPartitions("mix_key").select(*base, *([name] if copy_col else []))
 
