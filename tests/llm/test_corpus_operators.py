@@ -191,6 +191,15 @@ def test_repeats_whole_buckets(spark, monkeypatch, block):
     assert covered(spark, texts) == linked_by_hand(texts)
 
 
+def test_short_repeated_texts(spark):
+    """Texts of 25 words and more that repeat as a whole are found, from their first word to their last."""
+    rng = random.Random(14)
+    texts = [" ".join(f"s{n}x{rng.randrange(10**6)}" for _ in range(n)) for n in range(24, 52)]
+    docs = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(2 * len(texts))], "doc_id long, text string")
+    got = {(r.doc_id, r.start_word, r.end_word) for r in repeats.repeated_passages(docs).collect()}
+    assert got == {(i, 0, 24 + i % len(texts)) for i in range(2 * len(texts)) if i % len(texts)}
+
+
 def test_links_of_a_group():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (12, 21)).astype(np.uint64)

@@ -2,7 +2,8 @@
 
 Repeated passages seldom begin at a line, so paragraphs are found by content: of every 26 neighbouring five-word
 shingles the one with the least hash is an anchor, and the 25 words from an anchor are a paragraph. Any
-passage of 50 words that two documents share has such a paragraph in common, wherever it stands. A
+passage of 50 words that two documents share has such a paragraph in common, wherever it stands. The first and the
+last 25 words of a text are paragraphs too, so a repeated text has some from 25 words on, up to both its ends. A
 paragraph is known by a fingerprint of its shingles; paragraphs with equal fingerprints are one class. Four
 minima, each a band of its own, find nearly equal classes (at a similarity of 0.8 all but 0.2 % of the pairs);
 all classes of a bucket are searched, in blocks of bounded size, for pairs of different documents that are alike on their
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import WordHashes, cut, mix, shingles
@@ -42,7 +43,7 @@ def least_of_runs(x: np.ndarray, run: int, pick=np.minimum) -> np.ndarray:
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
-    """Places that hold the least shingle hash of some run of ANCHOR shingles (of all, if there are fewer), where a whole paragraph follows."""
+    """Places that hold the least shingle hash of some run of ANCHOR shingles (of all, if there are fewer), where a whole paragraph follows; the first and the last such place as well."""
     last = len(h) + SHINGLE - 1 - WORDS
     if last < 0:
         return np.empty(0, np.int64)
@@ -53,7 +54,7 @@ def anchors(h: np.ndarray) -> np.ndarray:
         least = least_of_runs(mixed, ANCHOR)
         around = np.concatenate([np.zeros(ANCHOR - 1, np.uint64), least, np.zeros(ANCHOR - 1, np.uint64)])
         got = np.flatnonzero(least_of_runs(around, ANCHOR, np.maximum) == mixed)
-    return got[got <= last]
+    return np.union1d(got[got <= last], [0, last])
 
 
 def paragraph_sets(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -101,8 +102,8 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, few: int) -> DataFrame:
     """fp, items: the shingles of one paragraph of each class in `wanted` (fp, id, at), made anew from the texts."""
-    places = wanted.groupBy(F.col("id").alias("want_id")).agg(F.collect_list("at").alias("ats"))
-    small = wanted.limit(few + 1).count() <= few
+    places = cut(wanted.groupBy(F.col("id").alias("want_id")).agg(F.collect_list("at").alias("ats")))
+    small = places.limit(few + 1).count() <= few and wanted.count() <= 4 * few
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(places) if small else places, F.col("id").eqNullSafe(F.col("want_id"))).select("text", "ats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,19 +244,18 @@ def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     Words are [^\\x20\\x09-\\x0D]+, A-Z in lower case. A passage is a run of overlapping paragraphs with a cluster
     over several documents and with one answer; component_id is the smallest id among those that hold it, kept says that this is that document.
     Texts that are null, empty or under 25 words, and rows without an id, have none. Rows repeated with one id don't count as several
-    documents. Each broadcast is of at most `few` rows; beyond, Spark joins by shuffling.
+    documents. Each broadcast is of at most `few` rows (places of paragraphs, by text: four times as many in all); beyond, Spark joins by shuffling.
     """
     all_ = cut(paragraphs(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
     classes = all_.groupBy("fp").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("high"))
     classes = cut(classes.select("fp", F.col("first.id").alias("low"), F.col("first.at").alias("at"), "high"))
     bands = all_.select("fp", "id", F.explode("keys").alias("key"))
-    # A key that only one document has makes no pair, as a document isn't compared with itself.
-    crowded = bands.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("other"), F.min("id").alias("low"), F.max("id").alias("high"))
-    crowded = cut(crowded.filter("v != other AND low != high").select("key"))
-    small = crowded.limit(few + 1).count() <= few
-    members = bands.join(F.broadcast(crowded) if small else crowded, "key").groupBy("key", "fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    # doc: a mark of the document of a class that only one has.
-    members = cut(members.select("key", "fp", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).alias("doc")))
+    # One shuffle: by key, in which the classes of each key and then the keys of several are found.
+    of_key = Window.partitionBy("key")
+    members = bands.repartition("key").groupBy("key", "fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    members = members.select("*", F.min("fp").over(of_key).alias("f0"), F.max("fp").over(of_key).alias("f1"), F.min("low").over(of_key).alias("d0"), F.max("high").over(of_key).alias("d1"))
+    # A key that only one document has makes no pair, as a document isn't compared with itself. doc: a mark of the document of a class that only one has.
+    members = cut(members.filter("f0 != f1 AND d0 != d1").select("key", "fp", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).alias("doc")))
     ends = cut(members.select("fp").distinct())
     small = ends.limit(few + 1).count() <= few
     wanted = cut(classes.join(F.broadcast(ends) if small else ends, "fp", "left_semi").select("fp", F.col("low").alias("id"), "at"))
