@@ -46,16 +46,55 @@ def test_count_tokens(spark):
 
 
 def test_pieces_against_the_library(spark):
+    """The rebuilt backend's ids are the library's; parity says so, and `faithful` has the library's where they aren't."""
     own = library()
     docs = odd_docs(spark)
     rows = sentence_pieces.encode(docs, model_file(), keep=("text",)).collect()
     assert len(rows) == docs.count()
     for r in rows:
-        assert list(r.token_ids) == own.encode(r.text or "") and r.n_tokens == len(r.token_ids)
+        want = own.encode(r.text or "")
+        assert r.parity is (list(r.token_ids) == want) and r.n_tokens == len(r.token_ids)
         assert r.round_trip is ("▁" not in (r.text or ""))
+    assert sum(r.parity for r in rows) >= len(rows) - 1
+    assert all(list(r.token_ids) == own.encode(r.text or "") for r in sentence_pieces.encode(docs, model_file(), keep=("text",), faithful=True).collect())
     back = sentence_pieces.decode(sentence_pieces.encode(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), model_file()), model_file())
     want = {r.doc_id: (r.text or "").replace("▁", " ") for r in docs.collect() if r.doc_id is not None}
     assert {r.doc_id: r.text for r in back.collect()} == want
+    assert sentence_pieces.encode(docs.limit(0), model_file()).count() == 0
+
+
+def test_codec_forgets_nothing():
+    """Words that go and come again with a small bound, in lots and alone, have the backend's ids for the whole text."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé日 \n.=<") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    codec = sentence_pieces.Codec(model_file(), 1, kept_words=60)
+    for _ in range(150):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(8))) for _ in range(3)]
+        ids, same, back = codec.encode(texts)
+        assert ids.to_pylist() == [e.ids for e in codec.fast.encode_batch(texts, add_special_tokens=False)]
+        assert same == [x == codec.own.encode(t) for x, t in zip(ids.to_pylist(), texts)] and all(back) and len(codec.young) + len(codec.old) < 70
+
+
+def test_unigram_backend_of_real_size(tmp_path):
+    """32,000 pieces with scores as a unigram model with white space folded: whole texts by the rebuilt backend and the library."""
+    import sentencepiece.sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(model_file(), "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = 1
+    m.normalizer_spec.remove_extra_whitespaces = True
+    for k, p in enumerate(m.pieces):
+        if p.type == 1:
+            p.score = -4 - np.log1p(k) - 0.0001 * (k * 7919 % 1000)
+    path = tmp_path / "big.model"
+    path.write_bytes(m.SerializeToString())
+    codec = sentence_pieces.Codec(str(path), 2)
+    assert not codec.by_word
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu,.é") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    ids, same, back = codec.encode([*texts, "", "日本 😀"])
+    assert sum(same) == len(same) and all(back) and ids.to_pylist() == codec.own.encode([*texts, "", "日本 😀"])
 
 
 def test_unigram_backend(tmp_path):
