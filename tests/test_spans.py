@@ -75,7 +75,7 @@ def test_rules(spark):
 
 def test_lower_case_needs_a_sure_one(spark):
     t = "smith John Smith"
-    drop = f"filter(spans, s -> NOT {X.unconfirmed('spans', 's')})"
+    drop = X.confirmed("spans")
     got = run(spark, [(1, t, [(0, 5, "PERSON", 0.55)]), (2, t, [(0, 5, "PERSON", 0.55), (6, 16, "PERSON", 0.8)])], drop)
     assert got[1] == [] and len(got[2]) == 2
 
@@ -83,7 +83,7 @@ def test_lower_case_needs_a_sure_one(spark):
 def test_frequency(spark):
     t = "Ann " * 9
     spans = [(4 * k, 4 * k + 3, "PERSON", 0.9) for k in range(9)]
-    got = run(spark, [(1, t, spans), (2, t, spans[:8])], f"filter(spans, s -> NOT {X.too_frequent('spans', 's', 8)})")
+    got = run(spark, [(1, t, spans), (2, t, spans[:8])], X.not_frequent("spans", 8))
     assert got[1] == [] and len(got[2]) == 8
 
 

@@ -25,6 +25,11 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def held(expr: str) -> str:
+    """The expression, in a form that the optimiser doesn't copy: filters on a column made of it stay above it, so that it is computed once."""
+    return f"CASE WHEN rand(0) < 0 THEN null ELSE {expr} END"
+
+
 def span(of: str, **changed: str) -> str:
     return "named_struct(" + ", ".join(f"'{f}', {changed.get(f, f'{of}.{f}')}" for f in FIELDS) + ")"
 
@@ -91,11 +96,6 @@ def resolved(spans: str) -> str:
         WHEN s.score > element_at(kept, -1).score THEN concat(slice(kept, 1, size(kept) - 1), array(s)) ELSE kept END)"""
 
 
-def best_of_equal(spans: str) -> str:
-    """One span for each (start, end, type): the one with the best score."""
-    return f"filter({ordered(spans)}, (s, i) -> NOT exists(slice({ordered(spans)}, 1, i), p -> p.start = s.start AND p.end = s.end AND p.type = s.type))"
-
-
 def at_least(spans: str, least: float) -> str:
     return f"filter({spans}, s -> s.score >= {least!r}D)"
 
@@ -159,15 +159,19 @@ def named(type_: str) -> str:
     return f"{type_} IN ({', '.join(map(q, NAMED))})"
 
 
-def unconfirmed(spans: str, s: str) -> str:
-    """A named type of one word in lower case that no span of score 0.6 or more in the document holds, whole or as a word."""
-    sure = f"flatten(transform(filter({spans}, c -> c.score >= 0.6D), c -> {let(bare('c.text'), 'ct', '''concat(array(ct), split(ct, ' '))''')}))"
-    return f"({named(s + '.type')} AND NOT {s}.text rlike '\\\\s' AND left({s}.text, 1) rlike '\\\\p{{Ll}}' AND NOT array_contains({sure}, {bare(s + '.text')}))"
+def confirmed(spans: str) -> str:
+    """Without named spans of one word in lower case that no span of score 0.6 or more in the document holds, whole or as a word."""
+    sure = f"array_distinct(flatten(transform(filter({spans}, c -> c.score >= 0.6D), c -> {let(bare('c.text'), 'ct', 'concat(array(ct), split(ct, chr(32)))')})))"
+    lone = f"({named('s.type')} AND NOT s.text rlike '\\\\s' AND left(s.text, 1) rlike '\\\\p{{Ll}}')"
+    return f"CASE WHEN exists({spans}, s -> {lone}) THEN {let(sure, 'su', f'filter({spans}, s -> NOT ({lone} AND NOT array_contains(su, {bare('s.text')})))')} ELSE {spans} END"
 
 
-def too_frequent(spans: str, s: str, most: int) -> str:
-    """A named type whose text stands over `most` times among the document's named spans."""
-    return f"({named(s + '.type')} AND size(filter({spans}, o -> {named('o.type')} AND {bare('o.text')} = {bare(s + '.text')})) > {most})"
+def not_frequent(spans: str, most: int) -> str:
+    """Without named spans whose text stands over `most` times among the document's named spans."""
+    texts = f"array_sort(transform(filter({spans}, o -> {named('o.type')}), o -> {bare('o.text')}))"
+    often = f"array_distinct(filter(tx, (t, i) -> i >= {most} AND tx[i - {most}] = t))"
+    drop = f"CASE WHEN size(fq) = 0 THEN {spans} ELSE filter({spans}, s -> NOT ({named('s.type')} AND array_contains(fq, {bare('s.text')}))) END"
+    return let(let(texts, "tx", often), "fq", drop)
 
 
 def family_numbers(spans: str, prefix: str = "") -> str:
@@ -175,21 +179,23 @@ def family_numbers(spans: str, prefix: str = "") -> str:
 
     A (type, normal form) seen before has its placeholder again. A form that contains a root's form of its type, or is contained in it
     (both of 4 characters or more), is a variant of the first such root: the root's number and a letter (from the 27th on
-    an underscore and the number). Else it is a new root with the type's next number.
+    an underscore and the number). Else it is a new root with the type's next number. The fold is over the distinct forms
+    of each type, not over the spans.
     """
-    state = "struct<done: array<struct<type: string, norm: string, number: int, variant: int>>, out: array<struct<start: int, end: int, type: string, text: string, norm: string, placeholder: string>>>"
-    tag = f"coalesce(map_from_arrays({array_of(TAGS)}, {array_of(TAGS.values())})[s.type], s.type)"
-    same = "filter(st.done, d -> d.type = s.type AND d.norm = nm)"
-    kin = "filter(st.done, d -> d.type = s.type AND d.variant = 0 AND length(d.norm) >= 4 AND length(nm) >= 4 AND (contains(d.norm, nm) OR contains(nm, d.norm)))"
-    new = f"""CASE WHEN size(sm) > 0 THEN sm[0]
-        WHEN size(kn) > 0 THEN named_struct('type', s.type, 'norm', nm, 'number', kn[0].number, 'variant', 1 + size(filter(st.done, d -> d.type = s.type AND d.number = kn[0].number AND d.variant > 0)))
-        ELSE named_struct('type', s.type, 'norm', nm, 'number', 1 + size(filter(st.done, d -> d.type = s.type AND d.variant = 0)), 'variant', 0) END"""
-    suffix = "CASE WHEN nw.variant = 0 THEN '' WHEN nw.variant <= 26 THEN chr(96 + nw.variant) ELSE concat('_', nw.variant) END"
-    name = f"concat('<', {q(prefix + '_') if prefix else q('')}, {tag}, '_', nw.number, {suffix}, '>')"
-    step = f"named_struct('done', CASE WHEN size(sm) > 0 THEN st.done ELSE concat(st.done, array(nw)) END, 'out', concat(st.out, array(named_struct('start', s.start, 'end', s.end, 'type', s.type, 'text', s.text, 'norm', nm, 'placeholder', {name}))))"
-    fold = let(normalised("s.text"), "nm", let(same, "sm", let(kin, "kn", let(new, "nw", step))))
-    start = "cast(named_struct('done', array(), 'out', array()) as " + state + ")"
-    return f"aggregate({ordered(spans)}, {start}, (st, s) -> cast({fold} as {state}), st -> st.out)"
+    state = "struct<roots: array<struct<norm: string, variants: int>>, out: array<struct<key: string, name: string>>>"
+    tag = f"coalesce(map_from_arrays({array_of(TAGS)}, {array_of(TAGS.values())})[ty], ty)"
+    kin = "CASE WHEN length(nm) >= 4 THEN array_position(transform(st.roots, r -> length(r.norm) >= 4 AND (contains(r.norm, nm) OR contains(nm, r.norm))), true) ELSE 0 END"
+    suffix = "CASE WHEN vr = 0 THEN '' WHEN vr <= 26 THEN chr(96 + vr) ELSE concat('_', vr) END"
+    entry = f"named_struct('key', nm, 'name', concat('<', {q(prefix + '_') if prefix else q('')}, {tag}, '_', CASE WHEN kn > 0 THEN kn ELSE size(st.roots) + 1 END, {suffix}, '>'))"
+    roots = "CASE WHEN kn > 0 THEN transform(st.roots, (r, i) -> CASE WHEN i = kn - 1 THEN named_struct('norm', r.norm, 'variants', vr) ELSE r END) ELSE concat(st.roots, array(named_struct('norm', nm, 'variants', 0))) END"
+    step = let(kin, "kn", let("CASE WHEN kn > 0 THEN st.roots[cast(kn as int) - 1].variants + 1 ELSE 0 END", "vr", f"named_struct('roots', {roots}, 'out', concat(st.out, array({entry})))"))
+    start = f"cast(named_struct('roots', array(), 'out', array()) as {state})"
+    of_type = f"aggregate(array_distinct(transform(filter(nd, x -> x.s.type = ty), x -> x.norm)), {start}, (st, nm) -> cast({step} as {state}), st -> st.out)"
+    names = let(of_type, "on", "named_struct('type', ty, 'keys', transform(on, o -> o.key), 'names', transform(on, o -> o.name))")
+    tables = f"transform(array_distinct(transform(nd, x -> x.s.type)), ty -> {names})"
+    one = "named_struct('start', x.s.start, 'end', x.s.end, 'type', x.s.type, 'text', x.s.text, 'norm', x.norm, 'placeholder', tb.names[cast(array_position(tb.keys, x.norm) as int) - 1])"
+    placed = f"transform(nd, x -> {let('tt[cast(array_position(transform(tt, t -> t.type), x.s.type) as int) - 1]', 'tb', one)})"
+    return let(f"transform({ordered(spans)}, s -> named_struct('s', s, 'norm', {normalised('s.text')}))", "nd", let(tables, "tt", placed))
 
 
 def substituted(text: str, numbered: str) -> str:
@@ -200,7 +206,8 @@ def substituted(text: str, numbered: str) -> str:
 
 def mapping_of(numbered: str) -> str:
     """Map from placeholder to the text first seen for it."""
-    return f"map_from_entries(aggregate({numbered}, cast(array() as array<struct<key: string, value: string>>), (m, s) -> CASE WHEN exists(m, e -> e.key = s.placeholder) THEN m ELSE concat(m, array(named_struct('key', s.placeholder, 'value', s.text))) END))"
+    first = f"transform(dp, p -> {numbered}[cast(array_position(ps, p) as int) - 1].text)"
+    return let(f"transform({numbered}, s -> s.placeholder)", "ps", let("array_distinct(ps)", "dp", f"map_from_arrays(dp, {first})"))
 
 
 def restored(text: str, mapping: str) -> str:

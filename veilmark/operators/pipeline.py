@@ -40,11 +40,11 @@ def with_spans(df: DataFrame, *steps: str) -> DataFrame:
 
 
 def false_positives(df: DataFrame, how: Settings) -> DataFrame:
-    """Stop list, all words in it, lower-case words that nothing confirms, structural references; then frequency among what is left."""
+    """Stop list, all words in it, structural references, lower-case words that nothing confirms; then frequency among what is left."""
     stop = X.array_of(sorted({*stop_terms(how.domain), *(t.lower() for t in how.extra_stop)}))
-    df = df.withColumn("stop_terms", F.expr(stop))
-    drop = f"{X.in_stop_list('s.text', 'stop_terms')} OR {X.all_words_stop('s.text', 'stop_terms')} OR {X.unconfirmed('spans', 's')} OR {X.structural('s.text')}"
-    return with_spans(df, f"filter(spans, s -> NOT ({drop}))", f"filter(spans, s -> NOT {X.too_frequent('spans', 's', how.most_frequent)})").drop("stop_terms")
+    drop = f"{X.in_stop_list('s.text', 'sl')} OR {X.all_words_stop('s.text', 'sl')} OR {X.structural('s.text')}"
+    # What confirms a word is looked for among all spans, so that rule comes first.
+    return with_spans(df, X.confirmed("spans"), X.let(stop, "sl", f"filter(spans, s -> NOT ({drop}))"), X.not_frequent("spans", how.most_frequent))
 
 
 def clean(df: DataFrame, how: Settings, text_col: str = "text") -> DataFrame:
@@ -53,7 +53,7 @@ def clean(df: DataFrame, how: Settings, text_col: str = "text") -> DataFrame:
     if how.validate_first:
         first = [first[2], first[0], first[1]]
     df = with_spans(df, *first, X.snapped("spans", f"`{text_col}`"), X.not_short("spans"), X.by_line("spans", "null" if how.compat else "true"))
-    return with_spans(false_positives(df, how), X.resolved("spans"))
+    return with_spans(false_positives(df, how), X.held(X.resolved("spans")))
 
 
 def detect(docs: DataFrame, how: Settings = Settings(), text_col: str = "text") -> DataFrame:
@@ -64,7 +64,7 @@ def detect(docs: DataFrame, how: Settings = Settings(), text_col: str = "text")
 def anonymise(detected: DataFrame, how: Settings = Settings(), text_col: str = "text") -> DataFrame:
     """Adds numbered (the verified spans with placeholders), anonymized_text and mapping."""
     sure = "filter(spans, s -> coalesce(s.verified, false))"
-    out = detected.withColumn("numbered", F.expr(X.family_numbers(sure, how.prefix)))
+    out = detected.withColumn("numbered", F.expr(X.held(X.family_numbers(sure, how.prefix))))
     return out.withColumn("anonymized_text", F.expr(X.substituted(f"`{text_col}`", "numbered"))).withColumn("mapping", F.expr(X.mapping_of("numbered")))
 
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions.catalog import Recogniser, recognisers
-from veilmark.functions.expressions import SPAN
+from veilmark.functions.expressions import FIELDS, SPAN
 
 Finder = Callable[[str], list[tuple[int, int, str, float]]]
 
@@ -25,15 +26,25 @@ class Context:
     least: float = 0.4
 
 
+def words_before(text: str, start: int, n: int) -> str:
+    """The last n whole words before a place, in lower case, joined by blanks."""
+    reach = 16 * n
+    while True:
+        words = text[max(0, start - reach) : start].split()
+        if len(words) > n or reach >= start:  # the first one may be cut, so it doesn't count
+            return " ".join(words[-n:]).lower()
+        reach *= 4
+
+
 def boosted(text: str, start: int, score: float, context: tuple[str, ...], how: Context) -> float:
-    before = " ".join(text[:start].lower().split()[-how.words :]) if start <= 400 else " ".join(text[start - 400 : start].lower().split()[-how.words :])
+    before = words_before(text, start, how.words)
     return min(1.0, max(score + how.delta, how.least)) if any(c in before for c in context) else score
 
 
 def recognise_texts(found: tuple[Recogniser, ...], context: Context | None = None, ignore_case: bool = False, finders: tuple[tuple[str, Finder], ...] = ()) -> Column:
     """A function of a text column that gives array<span>; to be used once on a column, as it isn't evaluated twice for free.
 
-    A pattern that isn't valid is left out, like an item without a name. finders: further recognisers (name, function of a text).
+    A pattern that isn't valid is left out with a warning, like an item without a name. finders: further recognisers (name, function of a text).
     """
     flags = re.IGNORECASE if ignore_case else 0
     compiled = []
@@ -41,29 +52,42 @@ def recognise_texts(found: tuple[Recogniser, ...], context: Context | None = Non
         for p in r.patterns:
             try:
                 compiled.append((r.entity, p.name, re.compile(p.regex, flags), p.score, tuple(c.lower() for c in r.context), r.group != "custom" and "[0-9]" in p.regex))
-            except re.error:
-                continue
+            except re.error as e:
+                warnings.warn(f"pattern {p.name} of {r.entity} isn't valid and is left out: {e}", stacklevel=2)
     digit = re.compile("[0-9]")
 
-    def of_text(text: str | None) -> list[dict]:
-        if not text:
-            return []
-        out = []
-        has_digit = digit.search(text) is not None
-        for entity, name, pattern, score, words, needs_digit in compiled:
-            if needs_digit and not has_digit:  # in the catalogue this class never stands in an optional part
-                continue
-            for m in pattern.finditer(text):
-                s = boosted(text, m.start(), score, words, context) if context and words else score
-                out.append({"start": m.start(), "end": m.end(), "type": entity, "text": m[0], "score": round(s, 3), "verified": True, "reason": None, "pattern": name})
-        for name, finder in finders:
-            out += [{"start": a, "end": b, "type": t, "text": text[a:b], "score": round(s, 3), "verified": True, "reason": None, "pattern": name} for a, b, t, s in finder(text)]
-        return out
-
-    @F.pandas_udf(f"array<{SPAN}>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(of_text)
+    @F.arrow_udf(f"array<{SPAN}>")
+    def spans(texts: pa.Array) -> pa.Array:
+        starts, ends, kinds, values, scores, names, offsets = [], [], [], [], [], [], [0]
+        for text in texts.to_pylist():
+            if text:
+                has_digit = digit.search(text) is not None
+                for entity, name, pattern, score, words, needs_digit in compiled:
+                    if needs_digit and not has_digit:  # in the catalogue this class never stands in an optional part
+                        continue
+                    before = len(starts)
+                    for m in pattern.finditer(text):
+                        start, end = m.span()
+                        starts.append(start)
+                        ends.append(end)
+                        values.append(m[0])
+                        scores.append(round(boosted(text, start, score, words, context), 3) if context and words else score)
+                    n = len(starts) - before
+                    if n:
+                        kinds += [entity] * n
+                        names += [name] * n
+                for name, finder in finders:
+                    for start, end, kind, score in finder(text):
+                        starts.append(start)
+                        ends.append(end)
+                        values.append(text[start:end])
+                        scores.append(round(score, 3))
+                        kinds.append(kind)
+                        names.append(name)
+            offsets.append(len(starts))
+        n = len(starts)
+        columns = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(scores, pa.float64()), pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.string()), pa.array(names, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, list(FIELDS)))
 
     return spans.asNondeterministic()
 

@@ -150,7 +150,7 @@ def doc_entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fp_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that stand over twice among a document's named spans go."""
-    return shown(pipeline.with_spans(line_spans(spark, sf_dir), f"filter(spans, s -> NOT {X.too_frequent('spans', 's', 2)})"))
+    return shown(pipeline.with_spans(line_spans(spark, sf_dir), X.not_frequent("spans", 2)))
 
 
 @query
@@ -260,7 +260,7 @@ def fp_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fp_lowercase_unconfirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = "named_struct('start', k, 'end', k + 1, 'type', 'PERSON', 'text', t, 'score', CASE WHEN k % 2 = 0 AND n_nationkey % 3 != 0 THEN 0.7D ELSE 0.5D END, 'verified', true, 'reason', cast(null as string), 'pattern', cast(k as string))"
     docs = _words(spark, sf_dir).groupBy(F.col("n_nationkey").alias("doc_id")).agg(F.collect_list(F.expr(s)).alias("spans")).withColumn("spans", F.expr(f"cast(spans as array<{X.SPAN}>)"))
-    return _shown_text(pipeline.with_spans(docs, f"filter(spans, s -> NOT {X.unconfirmed('spans', 's')})"))
+    return _shown_text(pipeline.with_spans(docs, X.confirmed("spans")))
 
 
 @query
