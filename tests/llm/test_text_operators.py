@@ -205,14 +205,74 @@ def test_classifier_on_held_out(spark):
 
 
 PAGE = """<html><head><title>x</title><style>p{}</style></head><body><header><a href="/">Home</a></header><div id="cookie-notice">We use</div>
-<main><h1>T &amp; t</h1><p>a  b<br>c<p>d &#233;<ul><li>x<li>y</ul><script>var t="</p>";</script><div class="comments"><p>c1</p></div></main>
+<main><h1>T &amp; t {i}</h1><p>a  b{i}<br>c<p>d{i} &#233;<ul><li>x{i}<li>y{i}</ul><script>var t="</p>";</script><div class="comments"><p>c{i}</p></div><div class="zz">Join us now</div></main>
 <div class="wrap sidebar-left"><article><p>in {i}</p></article></div><div class="zzz">Same on all pages</div><footer>f</footer></body></html>"""
 
 
+def pages_frame(spark, rows):
+    return spark.createDataFrame([(*r, "mine", 1) for r in rows], "page_id long, url string, html string, text string, host int")
+
+
 def test_pages(spark):
     rows = [(i, "http://h.org/a", PAGE.replace("{i}", str(i))) for i in range(6)] + [(7, None, "<p>only"), (8, "http://h.org/b", None), (9, "u", ""), (None, "http://x.y", "text & <b>bold</b>word")]
-    got = {r.page_id: r for r in page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3].text == "T & t\na b c\nd é\nx\ny\nin 3" and got[3].n_chars == len(got[3].text)
+    got = {r.page_id: r for r in page_text.main_text(pages_frame(spark, rows)).collect()}
+    assert got[3].text == "T & t 3\na b3 c\nd3 é\nx3\ny3\nin 3" and got[3].n_chars == len(got[3].text)
     assert got[7].text == "only" and got[8].text == got[9].text == "" and got[None].text == "text & boldword"
-    salted = {r.page_id: r.text for r in page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), few=-1).collect()}
+    salted = {r.page_id: r.text for r in page_text.main_text(pages_frame(spark, rows), few=-1).collect()}
     assert salted == {k: r.text for k, r in got.items()}
+    assert page_text.main_text(pages_frame(spark, rows).limit(0)).count() == 0
+
+
+def alone(page):
+    nodes, blocks = page_text.parse(page)
+    return page_text.pruned(nodes, blocks, {}, {}, 0.3)
+
+
+def test_page_priors():
+    """Names and tags that only look like something else stay, odd markup doesn't leak, and what says what it is goes."""
+    body = "<article><h1>Shares</h1>{}<p>tail</p></article>"
+    for part in ('<section class="share-capital">text</section>', '<section id="registration-form-history">text</section>', '<div class="legal">text</div>', '<p class="related">text</p>', "<math><mi>text</mi></math>", "<object>text</object>", "<header>text</header>"):
+        assert alone(body.format(part)) == ["Shares", "text", "tail"], part
+    for part in ('<div class="comments">c</div>', '<div class="share-buttons">s</div>', "<nav>n</nav>", '<div id="relatedAds">a</div>', "<textarea>t</textarea>", "<button>b</button>", '<div hidden>h</div>', '<ul role="navigation"><li>x</ul>'):
+        assert alone(body.format(part)) == ["Shares", "tail"], part
+    assert alone("<body><form action='/'><div><h1>H</h1><p>one two three</p><input name='x'></div></form></body>") == ["H", "one two three"]
+    assert alone('<div class="newsletter-form"><p>Sign up</p></div><div class="content"><p>a much longer text of the article</p></div>') == ["a much longer text of the article"]
+    assert alone('<p title="5" tall">first para</p><p a=\'x>y\' b>second') == ["first para", "second"]
+    assert alone("<noscript>on</noscript><p>the text itself") == ["the text itself"] and alone("a < b and c<p>d") == ["a < b and c", "d"]
+    assert alone("<nav>all of it</nav>") == []
+
+
+def test_deep_page():
+    """Time and memory grow with the page, not with its depth times its size."""
+    n = 20_000
+    nodes, blocks = page_text.parse("<div class='a'>x " * n)
+    assert len(blocks) == n and len(page_text.features("<div>x " * n)) < 4 * n and len(page_text.pruned(nodes, blocks, {1: 0.0}, {}, 0.3)) == n
+
+
+def test_pages_brute_force(spark):
+    """The tree's importances by plain counting over all pairs of pages of a host, and with them the texts."""
+    import math
+
+    rows = [(1000 + i, f"http://site{i % 3}.org/p", PAGE.replace("{i}", str(i // (1 + i % 4)))) for i in range(30)] + [(1050, "http://site0.org/q", "<html><body><div class='zzz'>Same on all pages</div><p>new")]
+    rows += [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    hosts = {}
+    for _, url, page in rows:
+        if page and url and "://" in url:
+            hosts.setdefault(url.split("/")[2].lower(), set()).add(page)
+    trees = {}
+    for host, pages in hosts.items():
+        feats = [page_text.features(p) for p in pages]
+        content, style = trees.setdefault(host, ({}, {}))
+        for path in {f[0] for fs in feats for f in fs}:
+            m = sum((path, 0, 2) in fs for fs in feats)
+            if m >= 4:
+                texts = [t for fs in feats for p, t, k in fs if p == path and k == 0]
+                content[path] = sum(1 - math.log(sum((path, t, 0) in fs for fs in feats), m) for t in texts) / len(texts) if texts else 1.0
+                kinds = [c for fs in feats for p, c, k in fs if p == path and k == 1]
+                style[path] = sum(-math.log(kinds.count(c) / len(kinds), len(kinds)) for c in kinds) / len(kinds)
+    want = {}
+    for i, url, page in rows:
+        tree = trees.get((url or "").split("/")[2].lower() if "://" in (url or "") else "", ({}, {}))
+        want[i] = "\n".join(page_text.pruned(*page_text.parse(page), *tree, 0.3)) if page else ""
+    got = {r.page_id: r.text for r in page_text.main_text(pages_frame(spark, rows)).collect()}
+    assert got == want and "Same on all pages" not in "".join(got[1000 + i] for i in range(30)) and "Same" not in got[1050]
