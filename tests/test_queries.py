@@ -30,7 +30,7 @@ def test_same_as_sql(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = duck.sql(entry.oracle_sql()[name]).df()
     columns = sorted(want.columns)
-    assert sorted(got.columns) == columns
+    assert sorted(got.columns) == columns and (len(want) or not name.startswith("detect_"))
     assert rows(got[columns].itertuples(index=False, name=None)) == rows(want[columns].itertuples(index=False, name=None))
 
 

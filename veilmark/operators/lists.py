@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,12 @@ def parse_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.filter((t != "") & ~t.startswith("#")).select(F.lower(t).alias("term")).distinct()
 
 
+def read_learned(spark: SparkSession, path: str) -> DataFrame:
+    """domain, terms from JSON objects of lists by domain, a file each; a file that is no such object gives nothing."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("domain", "terms")).filter("terms IS NOT NULL")
+
+
 def in_scope(learned: DataFrame, domain: str) -> DataFrame:
     """term of the general and the given domain from (domain, terms array)."""
     return learned.filter(F.col("domain").isin("general", domain)).select(F.explode("terms").alias("term")).select(F.lower("term").alias("term")).distinct()

@@ -14,13 +14,13 @@ from veilmark.operators.recognise import Context, Finder, recognise
 
 @dataclass(frozen=True)
 class Settings:
-    """What a profile resolves to. compat: spans split at a line end stay unverified, so they are reported but not replaced."""
+    """What a profile resolves to. context: the boost for context words, or None; without it the weakest patterns never reach the least score. compat: spans split at a line end stay unverified, so they are reported but not replaced."""
 
     domain: str = "general"
     min_score: float = 0.5
     extra_stop: tuple[str, ...] = ()
     custom: tuple[Recogniser, ...] = ()
-    context: Context | None = None
+    context: Context | None = Context()
     finders: tuple[tuple[str, Finder], ...] = ()
     types: tuple[str, ...] | None = None
     prefix: str = ""

@@ -106,3 +106,39 @@ COMPANY = re.compile(rf"\b({NAME}(?: {NAME}){{0,3}} (?:Ltd|Limited|Inc|LLC|LLP|G
 def heuristic_names(text: str) -> list[tuple[int, int, str, float]]:
     """A stand-in for a name model, by rules: names behind a title are persons, capitalised words before a legal form are organisations."""
     return [(m.start(1), m.end(1), "PERSON", 0.85) for m in TITLED.finditer(text)] + [(m.start(1), m.end(1), "ORGANIZATION", 0.85) for m in COMPANY.finditer(text)]
+
+
+#: Short lists for the stand-in; larger ones are a parameter of term_finder().
+PLACES = """Amsterdam Athens Berlin Bern Brussels Bucharest Budapest Copenhagen Dublin Frankfurt Geneva Hamburg Helsinki Lisbon London Luxembourg Madrid
+Milan Munich Nicosia Oslo Paris Prague Riga Rome Sofia Stockholm Tallinn Valletta Vienna Vilnius Warsaw Zagreb Zurich Austria Belgium Bulgaria Canada China
+Croatia Cyprus Denmark Estonia Finland France Germany Greece Hungary India Ireland Italy Japan Latvia Lithuania Malta Netherlands Norway Poland Portugal Romania
+Slovakia Slovenia Spain Sweden Switzerland Turkey Ukraine""".split() + ["New York", "San Francisco", "United Kingdom", "United States", "Hong Kong", "Los Angeles"]
+GROUPS = """American Austrian Belgian British Bulgarian Canadian Chinese Croatian Cypriot Czech Danish Dutch Estonian Finnish French German Greek Hungarian Indian
+Irish Italian Japanese Latvian Lithuanian Maltese Norwegian Polish Portuguese Romanian Russian Slovak Slovenian Spanish Swedish Swiss Turkish Ukrainian
+Buddhist Catholic Christian Hindu Jewish Muslim Orthodox Protestant Sikh""".split()
+
+
+def term_finder(terms: dict[str, list[str]], score: float = 0.85) -> Finder:
+    """A finder of the terms of each type as whole words, the longest first; to be made from a term table of bounded size."""
+    kinds = {t: kind for kind, ts in terms.items() for t in ts}
+    found = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(kinds, key=lambda t: (-len(t), t)))) + r")\b") if kinds else None
+
+    def find(text: str) -> list[tuple[int, int, str, float]]:
+        return [(m.start(), m.end(), kinds[m[0]], score) for m in found.finditer(text)] if found else []
+
+    return find
+
+
+def term_table(terms: DataFrame, type_col: str = "type", term_col: str = "term", most: int = 200_000) -> dict[str, list[str]]:
+    """The terms by type from a table, for term_finder(); a table of over `most` rows is an error, as a pattern isn't the way for it."""
+    rows = terms.select(type_col, term_col).filter(F.col(term_col) != "").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} terms: join them as a table")
+    out: dict[str, list[str]] = {}
+    for kind, term in sorted(map(tuple, rows)):
+        out.setdefault(kind, []).append(term)
+    return out
+
+
+#: Finders by the name that profiles use. A model is added as a function of a text that loads its weights once a process.
+FINDERS: dict[str, Finder] = {"rules": heuristic_names, "gazetteer": term_finder({"LOCATION": PLACES, "NRP": GROUPS})}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 #: Both dialects read this: concat of literals and of digits from c_custkey (k).
 TEMPLATE = [
     "Account number: ", ("10", 31), ", tax AB ", ("2", 1), " ", ("2", 3), " ", ("2", 7), " C and AB", ("6", 11), "C; passport ", ("9", 13), ", company number ", ("8", 17), " or SC", ("6", 19),
-    ". MORGA", ("6", 23), "SM9", ("2", 1), "IJ. NHS 943 476 ", ("4", 5), ", Steuer-ID ", ("11", 29), ", 65 ", ("6", 37), " M 00 7; NIR 1 85 12 75 108 ", ("3", 3), " 42; CNI ", ("12", 41),
+    ". MORGA", ("6", 23), "SM", ("2", 1), "IJ. NHS 943 476 ", ("4", 5), ", Steuer-ID ", ("11", 29), ", 65 ", ("6", 37), " M 00 7; NIR 1 85 12 75 108 ", ("3", 3), " 42; CNI ", ("12", 41),
     "; RSSMRA85M01H", ("3", 9), "Z; IT", ("11", 43), "; DNI ", ("8", 47), "Z; X", ("7", 53), "L; ATU", ("8", 59), " BE0", ("9", 61), " BG", ("9", 67), " CY", ("8", 71), "X CZ", ("8", 73), " DE", ("9", 79), " DK", ("8", 83), " EE", ("9", 89),
     " ESB", ("7", 97), "Q FI", ("8", 3), " FRAB", ("9", 5), " EL", ("9", 7), " HR", ("11", 9), " HU", ("8", 11), " IE1A", ("5", 13), "B LT", ("9", 15), " LU", ("8", 17), " LV", ("11", 19), " MT", ("8", 21), " NL", ("9", 23), "B01 PL", ("10", 25), " PT", ("9", 27),
     " RO", ("7", 29), " SE", ("12", 31), " SI", ("8", 33), " SK", ("10", 35), " GB", ("9", 37), " CHE", ("9", 39), "; CZ", ("7", 41), " C", ("8", 43), "; LEI 5493001KJTIIGC8Y", ("4", 45), "; ISIN US", ("10", 47), "; SWIFT DEUTDEFF and DEUTDEFF500; ",

@@ -11,9 +11,9 @@ from veilmark.functions import expressions as X
 from veilmark.functions.catalog import BUILTIN, RECOGNISERS, type_table
 from veilmark.operators import chunking, lists, overrides, pipeline, store
 from veilmark.operators.pipeline import Settings
-from veilmark.operators.recognise import Context, recognise
+from veilmark.operators.recognise import Context, recognise, term_finder, term_table
 from veilmark.plans.planted import planted_texts
-from veilmark.sources.readers import few_tasks, table
+from veilmark.sources.readers import long_enough, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,9 +24,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structured personal data in `documents` found, resolved, numbered and replaced."""
-    types = ("EMAIL_ADDRESS", "IP_ADDRESS", "PHONE_NUMBER", "SWIFT_BIC", "CREDIT_CARD")
-    done = pipeline.anonymise(pipeline.detect(table(spark, sf_dir, "documents"), Settings(types=types)))
+    """Personal data of every type in `documents` found, resolved, numbered and replaced."""
+    done = pipeline.anonymise(pipeline.detect(table(spark, sf_dir, "documents")))
     return done.select("doc_id", "anonymized_text", F.size("numbered").cast("bigint").alias("n_entities"))
 
 
@@ -36,7 +35,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, and a text with planted identifiers for each customer."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.unionByName(planted_texts(few_tasks(table(spark, sf_dir, "customer"))))
+    return docs.unionByName(planted_texts(table(spark, sf_dir, "customer")))
 
 
 def raw_spans(spark: SparkSession, sf_dir: str, entities: tuple[str, ...] | None, context: Context | None = None) -> DataFrame:
@@ -76,7 +75,7 @@ def src_text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def src_min_text_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.length(F.trim("text")) >= 500).select("doc_id")
+    return long_enough(table(spark, sf_dir, "documents"), 500).select("doc_id")
 
 
 NOTES = "# parties\n Seller \nBUYER\n\n  #x\nseller\nthe Agent\n"
@@ -112,7 +111,7 @@ SPANS = """struct(cast((l_partkey * 7 + l_linenumber * 13) % 60 as int) as start
 
 
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = few_tasks(table(spark, sf_dir, "lineitem")).select(F.col("l_orderkey").alias("doc_id"), F.expr(SPANS).alias("s"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.expr(SPANS).alias("s"))
     return rows.groupBy("doc_id").agg(F.collect_list("s").alias("spans")).withColumn("spans", F.expr(f"cast(spans as array<{X.SPAN}>)"))
 
 
@@ -122,7 +121,7 @@ def shown(df: DataFrame) -> DataFrame:
 
 @query
 def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = few_tasks(table(spark, sf_dir, "lineitem")).selectExpr("l_orderkey as doc_id", "cast(l_partkey % 6 as int) as start", "cast(l_partkey % 6 + 4 as int) as end", "CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END as type", "l_discount as score", "cast(l_linenumber % 2 * 3 as int) as off")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", "cast(l_partkey % 6 as int) as start", "cast(l_partkey % 6 + 4 as int) as end", "CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END as type", "l_discount as score", "cast(l_linenumber % 2 * 3 as int) as off")
     return chunking.to_document(rows)
 
 
@@ -136,15 +135,20 @@ def min_score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(pipeline.with_spans(line_spans(spark, sf_dir), X.at_least("spans", 0.5)))
 
 
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of documents whose spans count as verified from a score of 0.5 on."""
+    sure = pipeline.with_spans(line_spans(spark, sf_dir).withColumn("text", F.lit("")), f"transform(spans, s -> {X.span('s', verified='s.score >= 0.5D')})")
+    return pipeline.summary(pipeline.anonymise(sure))
+
+
 @query
 def by_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.exploded(line_spans(spark, sf_dir)).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return _summary(spark, sf_dir).select("doc_id", F.explode("by_type").alias("type", "n"))
 
 
 @query
 def doc_entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = pipeline.exploded(line_spans(spark, sf_dir))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("score") >= 0.5).alias("confirmed"), F.countDistinct("type", "text").alias("uniq"))
+    return _summary(spark, sf_dir).select("doc_id", F.col("total_entities").alias("total"), F.col("entities_confirmed").alias("confirmed"), F.col("unique_entities").alias("uniq"))
 
 
 @query
@@ -153,13 +157,21 @@ def fp_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(pipeline.with_spans(line_spans(spark, sf_dir), X.not_frequent("spans", 2)))
 
 
+@query
+def fp_frequency_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limits of the domains: a document a supplier, whose names stand in it from once to many times."""
+    name = F.concat(F.lit("n"), F.expr("cast(sqrt(l_partkey % 2500) as int)"))
+    s = F.struct(F.col("l_orderkey").cast("int").alias("start"), (F.col("l_orderkey") + 1).cast("int").alias("end"), F.when(F.col("l_linenumber") == 7, "ISIN").otherwise("PERSON").alias("type"), name.alias("text"), F.lit(0.9).alias("score"), F.lit(True).alias("verified"), F.lit(None).cast("string").alias("reason"), F.col("l_linenumber").cast("string").alias("pattern"))
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id")).agg(F.collect_list(s).alias("spans")).withColumn("spans", F.expr(f"cast(spans as array<{X.SPAN}>)"))
+    one = lambda domain: pipeline.exploded(pipeline.with_spans(docs, X.not_frequent("spans", Settings(domain=domain).most_frequent))).select(F.lit(domain).alias("domain"), "doc_id", "start", "type", "pattern", F.col("text").alias("value"))
+    return one("general").unionByName(one("financial"))
+
+
 @query
 def assign_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal (type, text) share a number, given in order of the first start."""
-    s = pipeline.exploded(line_spans(spark, sf_dir))
-    first = s.groupBy("doc_id", "type", "text").agg(F.min(F.struct("start", "pattern")).alias("first"))
-    w = Window.partitionBy("doc_id", "type").orderBy("first", "text")
-    return first.withColumn("number", F.row_number().over(w).cast("bigint")).select("doc_id", "type", "text", "number")
+    n = line_spans(spark, sf_dir).withColumn("numbered", F.expr(X.held(X.family_numbers("spans")))).select("doc_id", F.explode("numbered").alias("s"))
+    return n.select("doc_id", "s.type", "s.text", F.regexp_extract("s.placeholder", "_([0-9]+)>$", 1).cast("bigint").alias("number")).distinct()
 
 
 @query
@@ -173,7 +185,7 @@ def override_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few_tasks(table(spark, sf_dir, "part"))
+    return table(spark, sf_dir, "part")
 
 
 @query
@@ -204,10 +216,15 @@ def validate_ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three spans a document at fixed places, mostly inside words or across lines."""
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 40).select("doc_id", "text")
-    one = lambda a, n, t: f"named_struct('start', {a}, 'end', {a} + {n}, 'type', '{t}', 'text', substring(text, {a} + 1, {n}), 'score', 0.7D, 'verified', true, 'reason', cast(null as string), 'pattern', '{t}')"
-    return docs.withColumn("spans", F.expr(f"cast(array({one('3', '9', 'PERSON')}, {one('cast(length(text) div 2 as int)', '12', 'LOCATION')}, {one('cast(doc_id % 25 as int)', 'cast(doc_id % 13 + 1 as int)', 'NRP')}) as array<{X.SPAN}>)"))
+    """Three spans a document at fixed places (in short texts at their end), mostly inside words or across lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def one(a: str, n: str, t: str) -> str:
+        start, end = f"least({a}, length(text))", f"least({a} + {n}, length(text))"
+        return f"named_struct('start', {start}, 'end', {end}, 'type', '{t}', 'text', substring(text, {start} + 1, {end} - {start}), 'score', 0.7D, 'verified', true, 'reason', cast(null as string), 'pattern', '{t}')"
+
+    spans = f"cast(array({one('3', '9', 'PERSON')}, {one('cast(length(text) div 2 as int)', '12', 'LOCATION')}, {one('cast(doc_id % 25 as int)', 'cast(doc_id % 13 + 1 as int)', 'NRP')}) as array<{X.SPAN}>)"
+    return docs.withColumn("spans", F.expr(f"CASE WHEN text IS NOT NULL THEN {spans} END"))
 
 
 def _shown_text(df: DataFrame) -> DataFrame:
@@ -226,7 +243,7 @@ def drop_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def newline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 40).select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
     whole = "cast(array(named_struct('start', 0, 'end', length(text), 'type', 'PERSON', 'text', text, 'score', 0.7D, 'verified', true, 'reason', cast(null as string), 'pattern', 'w')) as array<" + X.SPAN + ">)"
     return pipeline.exploded(pipeline.with_spans(docs.withColumn("spans", F.expr(whole)), X.by_line("spans"))).select("doc_id", "start", "end", F.md5("text").alias("digest"))
 
@@ -234,7 +251,7 @@ def newline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts for the rules: nation names, roles and references with articles and look-alikes."""
     forms = "array(n_name, concat('The ', 'Client'), 'Сlient', concat('Clause ', n_nationkey), 'Purchase and Invoice', lower(n_name), concat('an ', 'Agent ', n_name), 'of the', concat('section', n_name))"
-    rows = few_tasks(table(spark, sf_dir, "nation")).select("n_nationkey", F.posexplode(F.expr(forms)).alias("k", "t"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.expr(forms)).alias("k", "t"))
     return rows
 
 
@@ -344,43 +361,72 @@ def mapping_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- substitution and restoring ----------------------------------------------------------------------------------------
 
 
-def _mail_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.anonymise(pipeline.detect(texts(spark, sf_dir), Settings(types=("EMAIL_ADDRESS", "IP_ADDRESS", "US_SSN"))))
+def _all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.anonymise(pipeline.detect(texts(spark, sf_dir)))
 
 
 @query
 def anonymize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mail_docs(spark, sf_dir).filter(F.size("numbered") > 0).select("doc_id", "anonymized_text")
+    """Every text with all its entities replaced, as a digest, and how many entities there are."""
+    return _all_types(spark, sf_dir).select("doc_id", F.md5("anonymized_text").alias("digest"), F.size("numbered").cast("bigint").alias("n"))
 
 
 @query
 def detect_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = pipeline.detect(texts(spark, sf_dir), Settings(types=("EMAIL_ADDRESS", "IP_ADDRESS", "US_SSN")))
-    return pipeline.exploded(d).select("doc_id", "start", "end", "type", F.col("text").alias("value"), "score")
+    return pipeline.exploded(pipeline.detect(texts(spark, sf_dir))).select("doc_id", "start", "end", "type", F.col("text").alias("value"), "score")
 
 
 @query
 def scan_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = pipeline.detect(texts(spark, sf_dir), Settings(types=("EMAIL_ADDRESS", "IP_ADDRESS", "US_SSN")))
-    return pipeline.safe(d).select("doc_id", "start", "end", "type", "score", "verified")
+    return pipeline.safe(pipeline.detect(texts(spark, sf_dir))).select("doc_id", "start", "end", "type", "score", "verified")
+
+
+@query
+def gazetteer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a term table (nations as they are written, and regions) in sentences about customers."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    terms = nation.select(F.lit("LOCATION").alias("type"), F.col("n_name").alias("term")).unionByName(region.select(F.lit("NRP").alias("type"), F.col("r_name").alias("term")))
+    told = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
+    docs = told.selectExpr("c_custkey as doc_id", "concat('From ', n_name, 'x to ', n_name, ', in ', r_name, '; ', c_mktsegment) as text")
+    found = recognise(docs, types=(), finders=(("terms", term_finder(term_table(terms))),))
+    return pipeline.exploded(found).select("doc_id", "start", "end", "type", F.col("text").alias("value"), "score")
+
+
+@query
+def review_reapply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of planted texts: the first span goes and `example` is added; reviews that aren't approved and JSON that isn't valid change nothing."""
+    docs = pipeline.detect(planted_texts(table(spark, sf_dir, "customer")), Settings(types=("EMAIL_ADDRESS", "US_SSN", "ISIN")))
+    asked = """CASE pmod(doc_id, 4) WHEN 0 THEN '{"remove": [0], "add": [{"text": "example", "type": "ORGANIZATION", "start": 0, "end": 7}]}' WHEN 1 THEN '{"remove": [0]}' WHEN 2 THEN '{oops' ELSE '{"remove": [0]}' END"""
+    reviews = docs.selectExpr("doc_id", "CASE WHEN pmod(doc_id, 4) = 3 THEN 'pending' ELSE 'approved' END as status", f"{asked} as overrides")
+    return pipeline.exploded(overrides.reapply(docs, reviews)).select("doc_id", "start", "end", "type", F.col("text").alias("value"), "reason")
+
+
+@query
+def sql_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions and views of the session's SQL."""
+    from veilmark.functions.sql import register
+
+    register(spark)
+    codes = _parts(spark, sf_dir).selectExpr("p_partkey", "concat('GB', lpad(cast(p_partkey % 97 + 2 as string), 2, '0'), ' WEST ', lpad(cast(p_partkey * 31 as string), 8, '0'), ' ', lpad(cast(p_size as string), 6, '0')) as code", "concat('  ', p_name, ' ', p_type, ';, ') as raw", "p_brand", "p_size")
+    return codes.selectExpr("p_partkey", "pii_valid_iban(code) as ok", "pii_normalise(raw) as norm", "pii_placeholder_type(concat('<', p_brand, '_PERSON_', p_size, '>')) as kind")
 
 
 @query
 def restore_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts made of placeholders of which one is the beginning of another."""
-    rows = few_tasks(table(spark, sf_dir, "customer")).selectExpr("c_custkey", "concat('hi <A_1', c_custkey % 10, '> and <A_1> of <B_', c_nationkey, '>') as anonymized_text", "map('<A_1>', c_name, concat('<A_1', c_custkey % 10, '>'), c_mktsegment, concat('<B_', c_nationkey, '>'), 'x <A_1> y') as mapping")
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('hi <A_1', c_custkey % 10, '> and <A_1> of <B_', c_nationkey, '>') as anonymized_text", "map('<A_1>', c_name, concat('<A_1', c_custkey % 10, '>'), c_mktsegment, concat('<B_', c_nationkey, '>'), 'x <A_1> y') as mapping")
     return pipeline.restore(rows).select("c_custkey", "restored_text")
 
 
 @query
 def roundtrip_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pipeline.restore(_mail_docs(spark, sf_dir))
+    done = pipeline.restore(_all_types(spark, sf_dir))
     return done.select("doc_id", F.md5("restored_text").alias("digest"))
 
 
 @query
 def restore_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pipeline.restore(_mail_docs(spark, sf_dir))
+    done = pipeline.restore(_all_types(spark, sf_dir))
     return done.select("doc_id", "entities_restored")
 
 
@@ -392,7 +438,7 @@ def apply_mapping_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def override_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pipeline.detect(texts(spark, sf_dir), Settings(types=("EMAIL_ADDRESS",)))
+    docs = pipeline.detect(texts(spark, sf_dir))
     terms = docs.select("doc_id", F.lit("example").alias("text"), F.lit("ORGANIZATION").alias("type")).unionByName(docs.select("doc_id", F.lit("of the").alias("text"), F.lit("PERSON").alias("type")))
     return pipeline.exploded(overrides.added(docs, terms)).select("doc_id", "start", "end", "type", "score", "reason")
 
@@ -401,7 +447,7 @@ def override_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_style_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilmark.sources.documents import line_styles
 
-    docs = few_tasks(table(spark, sf_dir, "documents")).select("doc_id", F.expr("concat('## Part ', doc_id, '\\n', 'SECTION ', doc_id, '\\n', text, '\\n#### x\\n###### y')").alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('## Part ', doc_id, '\\n', 'SECTION ', doc_id, '\\n', text, '\\n#### x\\n###### y')").alias("text"))
     return line_styles(docs)
 
 
@@ -415,7 +461,7 @@ def audit_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few_tasks(table(spark, sf_dir, "orders")).selectExpr("concat('s', o_custkey) as session_id", "o_orderdate as ts", "o_orderkey")
+    return table(spark, sf_dir, "orders").selectExpr("concat('s', o_custkey) as session_id", "o_orderdate as ts", "o_orderkey")
 
 
 @query
@@ -454,7 +500,7 @@ def review_add_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    return few_tasks(table(spark, sf_dir, "nation")).filter(where).select(F.lower("n_name").alias("term"))
+    return table(spark, sf_dir, "nation").filter(where).select(F.lower("n_name").alias("term"))
 
 
 @query
@@ -470,7 +516,7 @@ def stoplist_learned_minus_custom(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with the sizes of their lists, by name."""
-    n = few_tasks(table(spark, sf_dir, "nation"))
+    n = table(spark, sf_dir, "nation")
     return n.groupBy(F.concat(F.lit("r"), F.col("n_regionkey")).alias("name")).agg(F.array_sort(F.collect_list("n_name")).alias("extra")).select("name", F.size("extra").cast("bigint").alias("terms"), F.element_at("extra", 1).alias("first_term")).orderBy("name")
 
 

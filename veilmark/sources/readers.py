@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,19 +12,10 @@ TEXT_KINDS = (".txt", ".md", ".csv", ".log", ".text")
 KINDS = (*TEXT_KINDS, ".docx", ".pdf")
 
 
-def few_tasks(df: DataFrame) -> DataFrame:
-    """The table as it is scanned; for plans without heavy work on each row."""
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table; `documents` in one file is dealt out over the cores, as work on texts is heavy."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("documents", "customer"):
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() * 2 <= cores:
-            return df.repartition(cores)
-    return df
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "customer") and len(df.inputFiles()) == 1 else df
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -44,15 +38,38 @@ def long_enough(df: DataFrame, least: int = 50, text_col: str = "text") -> DataF
     return df.filter(F.length(F.trim(F.col(text_col))) >= least)
 
 
-def dispatch(spark: SparkSession, path: str) -> DataFrame:
-    """Texts of a file or folder by its suffix; an unknown one is an error."""
+def pdf_texts(spark: SparkSession, path: str, pages: Callable[[bytes], list[str | None]], least: int = 50) -> DataFrame:
+    """path, doc_id, text, error: page texts, from the extractor that is given, joined by a line feed; a page without one is empty. A text under `least` characters, or a file that the extractor refuses, is null with an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, errors = [], []
+            for data in b["content"]:
+                try:
+                    text, error = "\n".join(p or "" for p in pages(bytes(data))), None
+                except Exception as e:  # whatever an extractor raises is about this file
+                    text, error = None, str(e) or type(e).__name__
+                if text is not None and len(text.strip()) < least:
+                    text, error = None, f"under {least} characters of text"
+                texts.append(text)
+                errors.append(error)
+            yield pd.DataFrame({"path": b["path"], "text": texts, "error": errors})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, text string, error string").select("path", F.xxhash64("path").alias("doc_id"), "text", "error")
+
+
+def dispatch(spark: SparkSession, path: str, pdf_pages: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
+    """Texts of a file or folder by its suffix; an unknown one is an error, as is PDF without an extractor of page texts."""
     kind = path[path.rfind(".") :].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if kind == ".docx":
         from veilmark.sources.documents import docx_texts
 
         return docx_texts(spark, path)
     if kind == ".pdf":
-        raise NotImplementedError("PDF needs a text extractor; join its page texts by a line feed and use long_enough()")
+        if pdf_pages is None:
+            raise NotImplementedError("PDF needs an extractor of page texts: dispatch(..., pdf_pages=...)")
+        return pdf_texts(spark, path, pdf_pages)
     if kind and kind not in TEXT_KINDS:
         raise ValueError(f"unsupported kind of file: {kind}")
     return text_files(spark, path)
