@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -26,11 +27,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see, from spark.checkpoint.dir; a local one only if that is unset, as in tests."""
+    """The folder that all executors see, from spark.checkpoint.dir. Only a local session without one gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        where = "file:///tmp/veilmark-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return f"file://{tempfile.gettempdir()}/veilmark-shared"
     return where
 
 
@@ -39,7 +41,38 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veilmark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote, once nothing that is still to be computed reads it."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def fair_share(spark: SparkSession, rows: int) -> int:
+    """The rows of one key that a task takes without standing out: a quarter of an even part, 256 at least."""
+    return max(256, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def hot_keys(counts: DataFrame, key: str, count: str, fair: int) -> DataFrame:
+    """key, salts: the keys with over `fair` rows, of which there are at most (all rows) / fair, that is four a partition."""
+    return counts.filter(F.col(count) > fair).select(key, F.ceil(F.col(count) / fair).cast("bigint").alias("salts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """left.join(right, key), where the rows of `left` with one of the `hot` keys are dealt out by `by` and meet copies of the key's row of `right`.
+
+    The hot keys are broadcast; hot_keys() bounds them by the number of partitions, whatever the data.
+    """
+    few = F.broadcast(hot)
+    one = left.join(few, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1)))).drop("salts")
+    other = right.join(few, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return one.join(other, [key, "salt"], how).drop("salt")
 
 
 class WordHashes(dict):
@@ -59,11 +92,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words [^\\x20\\x09-\\x0D]+ of a text as UTF-8: bytes.split knows just these separators."""
-    return text.encode().split() if text else []
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads them (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -83,6 +111,14 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores behind it until no column has it (in upper or lower case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the column as text, modulo n; null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

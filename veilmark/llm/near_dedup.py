@@ -5,9 +5,10 @@
 2. K minima make bands of a few; two classes with an equal band are candidates. In each bucket the smallest
    class is compared with every other, which is linear in the bucket.
 3. Candidates must agree in enough minima, and then in their full sets; these links give components.
-4. Buckets that still hold several components are searched whole, in blocks of bounded size: every pair of
-   classes in different components is refused or makes a link. Pairs inside one component need no
-   comparison, as they would change nothing.
+4. Buckets that still hold several components are searched whole: every pair of classes in different components
+   is refused or makes a link. Pairs inside one component need no comparison, as they would change nothing, so
+   the classes outside of the bucket's largest component are held against all its classes, in blocks of bounded size. A bucket of over
+   LARGE classes is first cut by the other bands of its classes, so that only classes with two bands in common meet.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import WordHashes, cut, mix, shingles
+from veilmark.llm.common import WordHashes, cut, fair_share, hot_keys, mix, release, salted_join, shingles
 from veilmark.llm.components import components
 
-BLOCK, BLOCK_SIZE = 2048, 4_000_000
+BLOCK, BLOCK_SIZE, LARGE = 512, 1_000_000, 65_536
 
 
 class Minima:
@@ -95,10 +96,21 @@ def agreement(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
 
 
-def with_signatures(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    sigs = classes.select("fp", "sig")
-    both = pairs.join(sigs.select(F.col("fp").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("fp").alias("v"), F.col("sig").alias("sv")), "v")
-    return agreement(both, least)
+def hot_in(rows: DataFrame, key: str) -> DataFrame:
+    """The hot keys of a written table."""
+    return cut(hot_keys(rows.groupBy(key).count(), key, "count", fair_share(rows.sparkSession, rows.count())))
+
+
+def only(table: DataFrame, wanted: DataFrame, few: int) -> DataFrame:
+    """The rows of a table by fp whose fp is among the distinct ones of `wanted`, which are broadcast if they are at most `few`."""
+    wanted = cut(wanted.select("fp").distinct())
+    return table.join(F.broadcast(wanted) if wanted.limit(few + 1).count() <= few else wanted, "fp", "left_semi")
+
+
+def with_both(pairs: DataFrame, table: DataFrame, column: str, x: str, y: str) -> DataFrame:
+    """Pairs u, v with the column of both ends from a table by fp. Many pairs may share one v, which are dealt out."""
+    one, other = table.select(F.col("fp").alias("u"), F.col(column).alias(x)), table.select(F.col("fp").alias("v"), F.col(column).alias(y))
+    return salted_join(pairs.join(one, "u"), other, "v", hot_in(pairs, "v"), "u").select("u", "v", x, y)
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str, few: int) -> DataFrame:
@@ -139,51 +151,80 @@ def alike(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs u, v whose full sets are alike."""
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("items").alias("y")), "v").select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [bool(alike(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], percent)[0]) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "u binary, v binary")
+    return with_both(pairs, sets, "items", "x", "y").mapInArrow(run, "u binary, v binary")
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """band, fp, root, blocks of the buckets that hold several components. Of buckets with the same members one is enough.
+    """band, fp, root, rest, blocks, rests of the buckets that hold several components. Of buckets with the same members one is enough.
 
-    A bucket is cut in blocks of at most about BLOCK members and BLOCK_SIZE shingles.
+    members: band, fp, n. rest: whether the class is outside of the bucket's largest component; blocks and rests: in how many
+    blocks all classes and the rest are cut, of at most about BLOCK members and BLOCK_SIZE shingles. A bucket of over LARGE classes
+    gives way to the buckets of its classes' pairs of bands: classes that are 80 % alike share one band only with a probability of 2.4e-6.
     """
-    named = members.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    buckets = named.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("mark")).filter("r0 != r1 AND m > 2")
-    once = buckets.groupBy("m", "mark").agg(F.min(F.struct("band", "total")).alias("b"))
-    blocks = once.select("b.band", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("b.total") / BLOCK_SIZE)).alias("blocks"))
-    return named.join(blocks, "band").select("band", "fp", "root", "blocks")
+    named = cut(members.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    pieces = lambda m, total: F.greatest(F.ceil(m / BLOCK), F.ceil(total / BLOCK_SIZE))
+
+    def open_buckets(rows: DataFrame) -> DataFrame:
+        parts = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("mark"))
+        found = parts.groupBy("band").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("m"), F.sum("total").alias("total"), F.sum(F.col("mark").cast("decimal(30,0)")).alias("mark"), F.max(F.struct("m", "total", "root")).alias("top")).filter("roots > 1")
+        once = found.groupBy("m", "mark").agg(F.min(F.struct("band", "total", "top")).alias("b"))
+        return cut(once.select("b.band", "m", F.col("b.top.root").alias("top"), pieces(F.col("m"), F.col("b.total")).alias("blocks"), pieces(F.col("m") - F.col("b.top.m"), F.col("b.total") - F.col("b.top.total")).alias("rests")))
+
+    def inside(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+        hot = cut(hot_keys(buckets, "band", "m", fair_share(rows.sparkSession, rows.count())))
+        return salted_join(rows, buckets.drop("m"), "band", hot, "fp").withColumn("rest", F.col("root") != F.col("top")).select("band", "fp", "root", "n", "rest", "blocks", "rests")
+
+    buckets = open_buckets(named)
+    small = inside(named, buckets.filter(F.col("m").between(3, LARGE)))
+    large = buckets.filter(F.col("m") > LARGE)
+    if large.isEmpty():
+        return small
+    first = inside(named, large).select(F.col("band").alias("band1"), "fp", "root", "n")
+    both = first.join(members.select("fp", F.col("band").alias("band2")), "fp").filter("band1 != band2")
+    both = cut(both.select(F.xxhash64(F.least("band1", "band2"), F.greatest("band1", "band2")).alias("band"), "fp", "root", "n").distinct())
+    return small.unionByName(inside(both, open_buckets(both)))
+
+
+def _bytes(classes: DataFrame) -> DataFrame:
+    """fp, sig: the lowest byte of each minimum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[::4] for s in b.column(1).to_pylist()], pa.binary())], ["fp", "sig"])
+
+    return classes.select("fp", "sig").mapInArrow(run, "fp binary, sig binary")
 
 
-def rest_of_buckets(opened: DataFrame, classes: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+def rest_of_buckets(opened: DataFrame, classes: DataFrame, sets: DataFrame, least: int, percent: int, few: int) -> DataFrame:
     """Links u, v between components within one bucket, enough of them to connect what any link in the bucket connects.
 
-    Every pair of classes in different components is held against each other: first the minima, then the full
-    sets. Pairs of blocks are separate tasks, and only links leave them, fewer than the components in the two blocks.
+    A group is a block of a bucket's rest (i) and a block of all its classes (j). Every pair in different components is held against
+    each other: first sizes and a byte of each minimum, then the full sets. Only links leave a group, fewer than its components.
+    A class is in a group for each block of the rest, and one of the rest in a group for each block as well.
     """
-    rows = opened.join(classes.select("fp", "sig"), "fp").join(sets, "fp")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "root", "sig", "items")
+    small = _bytes(only(classes.select("fp", "sig"), opened, few))
+    rows = opened.join(small, "fp").join(sets, "fp")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("left", F.when(F.col("rest"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("rests"))))
+    every = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("rests") - 1), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j")))
+    more = F.transform(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.col("rest") & (j != F.col("mine"))), lambda j: F.struct(F.col("left").alias("i"), j.alias("j")))
+    rows = rows.withColumn("at", F.explode(F.concat(every, more))).select("band", "at.i", "at.j", "mine", "left", "fp", "root", "sig", "items")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), -1)
-        comp = pd.factorize(group["root"])[0]
-        mine, fps = group["mine"].to_numpy(), group["fp"].to_numpy()
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
+        comp, fps = pd.factorize(group["root"])[0], group["fp"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
         sizes = np.array([len(s) for s in sets])
         i, j = group["i"].iloc[0], group["j"].iloc[0]
-        right = np.flatnonzero(mine == j)
+        right = np.flatnonzero(group["mine"].to_numpy() == j)
         got = []
-        for k in np.flatnonzero(mine == i):
+        for k in np.flatnonzero(group["left"].to_numpy() == i):
             near = right[(comp[right] != comp[k]) & (100 * np.minimum(sizes[right], sizes[k]) >= percent * np.maximum(sizes[right], sizes[k]))]
-            if i == j:
-                near = near[near > k]
             near = near[(sig[near] == sig[k]).sum(axis=1) >= least]
             if len(near):
                 for x in near[alike(sets[k], [sets[x] for x in near], percent)]:
@@ -195,7 +236,7 @@ def rest_of_buckets(opened: DataFrame, classes: DataFrame, sets: DataFrame, leas
     return rows.groupBy("band", "i", "j").applyInPandas(search, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, bands: int = 40, id_col: str = "doc_id", text_col: str = "text", few: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, bands: int = 40, id_col: str = "doc_id", text_col: str = "text", few: int = 500_000) -> DataFrame:
     """The id, n_shingles, component_id and kept for every row.
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; the set holds the distinct `size`-word shingles,
@@ -208,32 +249,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     k = rows * bands
     least = int(k * percent / 100 - 6 * np.sqrt(k * percent / 100 * (1 - percent / 100)))
     base = cut(sketch(docs, size, k, id_col, text_col))
-    classes = cut(base.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("low"), F.first("sig").alias("sig"), F.first("n").alias("n")))
+    full = base.filter("fp IS NOT NULL")
+    classes = cut(full.groupBy("fp").agg(F.min("id").alias("low"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     members = band_rows(classes, rows, bands)
-    pivots = members.groupBy("band").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = cut(members.join(pivots, "band"))
-    pairs = cut(with_signatures(members.filter("fp != v").select(F.col("fp").alias("u"), "v").distinct(), classes, least))
-    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
-    sets = sets_of(classes.join(ends, "fp", "left_semi").select("fp", "low"), docs, size, id_col, text_col, few)
+    pivots = cut(members.groupBy("band").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    n_classes = classes.count()
+    if pivots.limit(few + 1).count() <= few:
+        members = members.join(F.broadcast(pivots), "band")
+    else:
+        members = salted_join(members, pivots, "band", cut(hot_keys(pivots, "band", "m", fair_share(docs.sparkSession, n_classes * bands))), "fp")
+    members = cut(members)
+    candidates = cut(members.filter("fp != v").select(F.col("fp").alias("u"), "v").distinct())
+    ends = lambda p: p.select(F.col("u").alias("fp")).union(p.select(F.col("v").alias("fp")))
+    pairs = cut(agreement(with_both(candidates, only(classes, ends(candidates), few), "sig", "su", "sv"), least))
+    sets = sets_of(only(classes.select("fp", "low"), ends(pairs), few), docs, size, id_col, text_col, few)
     links = cut(verified(pairs, sets, percent))
+    release(candidates, pairs, sets)
     labels = components(links)
     opened = cut(open_members(members.filter("m > 2").select("band", "fp").join(classes.select("fp", "n"), "fp"), labels))
     if not opened.isEmpty():
-        inside = classes.join(opened.select("fp").distinct(), "fp", "left_semi").select("fp", "low")
-        more = cut(rest_of_buckets(opened, classes, sets_of(inside, docs, size, id_col, text_col, few), least, percent))
+        sets = sets_of(only(classes.select("fp", "low"), opened, few), docs, size, id_col, text_col, few)
+        more = cut(rest_of_buckets(opened, classes, sets, least, percent, few))
+        release(sets)
         if not more.isEmpty():
             labels = components(labels.filter("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    release(members, opened)
     lows = classes.select("fp", "low")
     named = labels.join(lows, labels["node"] == lows["fp"]).select("fp", "root", "low")
-    smallest = named.groupBy("root").agg(F.min("low").alias("group_low"))
-    group = named.join(smallest, "root").select("fp", "group_low")
+    smallest = named.groupBy("root").agg(F.min("low").alias("group_low"), F.count(F.lit(1)).alias("size"))
+    stars = cut(hot_keys(smallest, "root", "size", fair_share(docs.sparkSession, n_classes)))
+    group = salted_join(named.select("fp", "root"), smallest.drop("size"), "root", stars, "fp").select("fp", "group_low")
     known = lows.join(group, "fp", "left").select("fp", F.coalesce("group_low", "low").alias("component_id"))
-    out = base.select("id", "n", "fp").join(known, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    # Many rows may share one text, and as many may have none.
+    hot = cut(hot_keys(classes, "fp", "copies", fair_share(docs.sparkSession, base.count())))
+    with_words = salted_join(full.select("id", "n", "fp"), known, "fp", hot, "id").select("id", "n", "component_id")
+    out = with_words.unionByName(base.filter("fp IS NULL").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = 1_000_000, **how) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = 500_000, **how) -> DataFrame:
     """The rows of docs with one document of each group, all columns. Rows repeated with one id and one text become one."""
     found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, few=few, **how))
     gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
