@@ -134,3 +134,13 @@ def test_plan_has_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
     plan = pipeline.anonymise(pipeline.detect(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_chain_is_computed_once(spark):
+    """Filters on spans and numbers stay above the chain, which stands in the plan once."""
+    docs = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
+    whole = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    base = pipeline.anonymise(pipeline.detect(docs))
+    plain = whole(base.select("doc_id", "anonymized_text"))
+    for df in (base.filter("size(numbered) > 0").select("doc_id", "anonymized_text"), pipeline.exploded(base)):
+        assert whole(df).count("regexp_extract(substring") <= plain.count("regexp_extract(substring") and len(whole(df)) < 1.2 * len(plain)

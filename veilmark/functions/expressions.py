@@ -27,7 +27,7 @@ def let(value: str, name: str, body: str) -> str:
 
 def held(expr: str) -> str:
     """The expression, in a form that the optimiser doesn't copy: filters on a column made of it stay above it, so that it is computed once."""
-    return f"CASE WHEN rand(0) < 0 THEN null ELSE {expr} END"
+    return f"CASE WHEN spark_partition_id() < 0 THEN null ELSE {expr} END"
 
 
 def span(of: str, **changed: str) -> str:

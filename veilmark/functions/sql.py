@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions import expressions as X
-from veilmark.functions.catalog import recognisers, stop_terms, type_table
+from veilmark.functions.catalog import recogniser_table, recognisers, stop_terms, type_table
 from veilmark.operators.recognise import recognise_texts
 
 #: Name, parameter type, result type, expression over t.
@@ -25,8 +25,7 @@ CHECKS = (
 def register(spark: SparkSession, domain: str = "general") -> None:
     """Views pii_types, pii_recognisers and pii_stop_terms; functions of a text that check and normalise; pii_spans(text) and the table function pii_find(text)."""
     type_table(spark).createOrReplaceTempView("pii_types")
-    rows = [(r.entity, r.group, p.name, p.regex, p.score, list(r.context)) for r in recognisers(domain) for p in r.patterns]
-    spark.createDataFrame(rows, "type string, grp string, pattern string, regex string, score double, context array<string>").createOrReplaceTempView("pii_recognisers")
+    recogniser_table(spark, domain).createOrReplaceTempView("pii_recognisers")
     spark.createDataFrame([(t,) for t in stop_terms(domain)], "term string").createOrReplaceTempView("pii_stop_terms")
     for name, result, expr in CHECKS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {result} RETURN {expr}")

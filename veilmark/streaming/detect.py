@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,9 +19,11 @@ def write_with_mapping(anonymised: DataFrame, text_path: str, mapping_path: str,
     """Texts and the long mapping of every micro-batch, each batch in a folder of its own, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        batch.drop("mapping").write.mode("overwrite").parquet(f"{text_path}/batch={number}")
-        store.long_mapping(batch, id_col).write.mode("overwrite").parquet(f"{mapping_path}/batch={number}")
-        batch.unpersist()
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            batch.drop("mapping").write.mode("overwrite").parquet(f"{text_path}/batch={number}")
+            store.long_mapping(batch, id_col).write.mode("overwrite").parquet(f"{mapping_path}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return anonymised.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
