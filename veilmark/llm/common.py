@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,11 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes what cut() wrote, once nothing that is still to be computed reads it."""
+    """Deletes what cut() wrote, once nothing that is still to be computed reads it, and the shuffle files of plans that are done."""
     for df in tables:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
         path.getFileSystem(conf).delete(path, True)
+    tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that no plan refers to: it does so when the driver's garbage is collected, which may else take long."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fair_share(spark: SparkSession, rows: int) -> int:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import cut
+from veilmark.llm.common import cut, fresh
 
 #: 13 hex digits: what a double holds exactly.
 HASH_RANGE = float(16**13)
@@ -57,35 +57,43 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, ep
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", most: int | None = None, copy_col: str | None = "copy") -> DataFrame:
-    """All columns of docs, a row a copy, and the copy's number from 0 in `copy_col` if that is named.
+    """All columns of docs, a row a copy, and the copy's number from 0 in `copy_col` if that is named (a column of that name is replaced).
 
-    A null source is a source of its own; a null id hashes as an empty text. Rows repeated with one id get
-    the same count. An empty table gives an empty one. The join with the rates is by source, and the
+    A null source is a source of its own; a null id draws like an empty text. Rows repeated with one id get the same count. An empty table gives an empty one. The join with the rates is by source, and the
     rates (a row a source, of at most about 1,100 numbers) are broadcast if they are fewer than 10,000
     sources; else Spark joins by shuffling. The shuffle moves each copy once, dealt by a hash of id and
-    copy, so a source with a third of the rows is spread evenly.
+    copy (rows without an id: of all their columns), so a source with a third of the rows is spread evenly.
     """
     table = cut(rates(docs, source_col, weights, epochs, most))
     few = table.select("mix_source").limit(10_001).count() <= 10_000
-    joined = docs.withColumn("mix_u", uniform(seed, id_col)).join(F.broadcast(table) if few else table, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    name = copy_col or "mix_copy"
+    name = copy_col or fresh(docs.columns, "mix_copy")
     base = [c for c in docs.columns if c != name]
+    # What this adds stands in one column beside the document's own, so that no names clash.
+    own = docs.select(F.struct(*docs.columns).alias("doc"))
+    id_ = F.col(f"doc.`{id_col}`")
+    own = own.withColumn("mix_id", F.coalesce(id_.cast("string"), F.lit("")))
+    joined = own.withColumn("mix_u", uniform(seed, "mix_id")).join(F.broadcast(table) if few else table, F.col(f"doc.`{source_col}`").eqNullSafe(F.col("mix_source")))
     copies = F.expr("size(filter(cdf, x -> x <= mix_u))")
-    if table.filter("parts > 1").isEmpty():
+    many = not table.filter("parts > 1").isEmpty()
+    if not many:
         numbers = F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1))
     else:
         # The first part has the number of an undivided mean, each other one of its own.
         more = F.expr(f"""CASE WHEN parts < 2 THEN 0 ELSE aggregate(sequence(1, parts - 1), 0, (n, k) -> n + aggregate(
             array(cast(conv(substring(md5(cast(concat({_sql(seed + "-part-")}, k, '|', mix_id) as binary)), 1, 13), 16, 10) as double) / {HASH_RANGE!r}D), 0, (m, u) -> size(filter(cdf, x -> x <= u)))) END""")
-        joined = joined.withColumn("mix_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
         copies = copies + more
         numbers = F.explode(F.expr(f"sequence(mix_from, least(mix_n, mix_from + {RUN}) - 1)"))
     out = joined.withColumn("mix_n", copies).filter("mix_n > 0")
-    if "mix_id" in joined.columns:
-        out = out.select(*base, "mix_n", F.explode(F.expr(f"sequence(0, mix_n - 1, {RUN})")).alias("mix_from"))
-    out = out.select(*base, numbers.alias(name))
-    out = out.withColumn("mix_key", uniform(seed + "-order", id_col, name))
-    return out.repartition("mix_key").sortWithinPartitions("mix_key").select(*base, *([name] if copy_col else []))
+    if many:
+        out = out.select("doc", "mix_id", "mix_n", F.explode(F.expr(f"sequence(0, mix_n - 1, {RUN})")).alias("mix_from"))
+    out = out.select("doc", "mix_id", numbers.alias("mix_copy"))
+    place = F.when(id_.isNull(), F.xxhash64("doc")) if any_null(docs, id_col) else F.lit(None)
+    out = out.withColumn("mix_row", place.cast("string")).withColumn("mix_key", uniform(seed + "-order", "mix_id", "mix_copy", "mix_row"))
+    return out.repartition("mix_key").sortWithinPartitions("mix_key").select(*(F.col(f"doc.`{c}`").alias(c) for c in base), *([F.col("mix_copy").alias(name)] if copy_col else []))
+
+
+def any_null(docs: DataFrame, column: str) -> bool:
+    return not docs.filter(F.col(column).isNull()).isEmpty()
 
 
 #: DuckDB SQL for mix() with equal shares, one epoch and the default seed; {columns} are those of documents.

@@ -8,12 +8,16 @@ the value it stands for:
 - phone, card and national numbers: the digits go through a keyed Feistel permutation; country code, first
   digit of a card and its check digit (right or wrong as before) are kept in sense;
 - IP addresses: a permutation of the 32 bits; IBANs: country kept, digits permuted, check digits made anew;
-- e-mail addresses, keys and tokens: each letter or digit by one of its class (upper, lower, digit, hex,
-  Cyrillic), from a keyed stream; a domain's stream depends on the domain only;
-- persons behind a title or a known first name: a first name of the same gender and script, a made-up surname.
-
-All distinct values of the corpus are then checked: where two would share what is written of their surrogates (a
-surname alone behind a title), or one would keep its own value, the larger value tries again with the next attempt number until none is left.
+- e-mail addresses, keys and tokens: each letter or digit by one of its class (upper, lower, digit, hex, or
+  its script), from a keyed stream; a domain's stream depends on the domain only;
+- persons: a title stays; the surname is one value and the given name with its gender another, so "Mr Smith",
+  "Dr Smith" and "John Smith" keep one surname: a made-up one of the same script, and a given name of the same
+  gender and script. Persons are found by a title, by a given name of the lists, by words that announce a name
+  ("my name is", "Author:"), and before an address in angle brackets. A surname that stands alone in a text is not searched for.
+
+All distinct values of the corpus are then checked: where two would share their surrogates, or one would be a real value
+of its type in the corpus (of given names: its own), the larger value tries again with the next attempt number. What still clashes after
+`rounds` of that gets its type and a keyed hash in square brackets.
 """
 
 from __future__ import annotations
@@ -21,29 +25,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import cut
+from veilmark.llm.common import cut, fresh, release
 
 FIRST = {
     ("m", "latin"): "James John Robert Michael William David Thomas Daniel Hans Klaus Peter Stefan Pierre Jean Louis Antoine Carlos Miguel José Pablo Marco Paolo Lars Jan".split(),
     ("f", "latin"): "Mary Anna Susan Linda Emma Sarah Laura Julia Greta Ingrid Petra Claudia Marie Claire Camille Sophie Carmen Lucía Elena Isabel Giulia Chiara Karin Ida".split(),
     ("m", "cyrillic"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
+    ("m", "greek"): "Γιώργος Νίκος Δημήτρης Γιάννης Κώστας Παύλος".split(),
+    ("f", "greek"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ειρήνη".split(),
 }
 TITLES = {
     ("m", "latin"): ("Mr", "Herr", "Monsieur", "Señor", "Sir", "Signor"),
     ("f", "latin"): ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Señorita", "Signora"),
     ("m", "cyrillic"): ("Господин", "господин"),
     ("f", "cyrillic"): ("Госпожа", "госпожа"),
+    ("m", "greek"): ("Κύριος", "κύριος"),
+    ("f", "greek"): ("Κυρία", "κυρία"),
 }
 SYLLABLES = {
     "latin": "bar ben cor dal den fal gar har kel lan mar nor ost per rad sol tan ver wal zim".split(),
     "cyrillic": "бар бел вол гор дор зим кал лан мар нов ост пет рад сол тан тур чер шир яр".split(),
+    "greek": "αρ βελ γαρ δορ ζιμ καλ λαν μαρ νερ ορ πετ ραδ σολ ταν φιλ χαρ".split(),
 }
+#: First letter and number of letters in a row of other scripts.
+LETTERS = {"Greek": (0x3B1, 25), "Hebrew": (0x5D0, 27), "Arabic": (0x628, 19), "Armenian": (0x561, 38), "Georgian": (0x10D0, 33), "Devanagari": (0x915, 37), "Thai": (0xE01, 46), "Hiragana": (0x3041, 83), "Katakana": (0x30A1, 83), "Hangul": (0xAC00, 256), "Han": (0x4E00, 256)}
 NOT_BEFORE, NOT_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{Lu}\p{Ll}+(?:[-']\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(n for ns in FIRST.values() for n in ns)
+_CUE = "(?<=[Mm]y name is |[Jj]e m'appelle |[Ii]ch heiße |[Mm]e llamo |[Nn]ame: |Author: |Contact: |Patient: |Customer: |From: |Signed-off-by: )"
 
 #: Type and pattern, in the order in which they are tried at one place. Runs have no upper bound where the value has none; they can't be retried, so matching is linear.
 PATTERNS: dict[str, str] = {
@@ -55,13 +67,13 @@ PATTERNS: dict[str, str] = {
     "IP": r"(?<![\p{L}\p{N}.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?![\p{L}\p{N}]|\.[0-9])",
     "PHONE": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}" + NOT_AFTER + "|" + r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}" + NOT_AFTER + "|" + r"(?<![\p{L}\p{N}.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}" + NOT_AFTER,
     "CARD": r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){12,18}" + NOT_AFTER,
-    "PERSON": NOT_BEFORE + rf"(?:(?:{_TITLE}|Dr|Prof)\.? (?:{_NAME})(?: {_NAME})?|(?:{_GIVEN}) {_NAME})" + NOT_AFTER,
+    "PERSON": NOT_BEFORE + rf"(?:(?:{_TITLE}|Dr|Prof)\.? (?:{_NAME})(?: {_NAME})?|(?:{_GIVEN}) {_NAME})" + NOT_AFTER + rf"|{_CUE}{_NAME} {_NAME}" + NOT_AFTER + "|" + NOT_BEFORE + rf"{_NAME} {_NAME}(?= <[^<>@\\s]++@)",
 }
-PATTERNS["PERSON"] = r"(?=[\p{Lu}г])" + PATTERNS["PERSON"]
+PATTERNS["PERSON"] = r"(?=[\p{Lu}гκ])(?:" + PATTERNS["PERSON"] + ")"
 #: Only texts with a digit or an at sign are searched for what needs one; names, keys and tokens need neither.
 ANY = "|".join(PATTERNS.values())
-NO_MAIL = r"(?=[0-9a-z\p{Lu}г+(])(?:" + "|".join(p for t, p in PATTERNS.items() if t != "EMAIL") + ")"
-NO_DIGIT = NOT_BEFORE + r"(?=[\p{Lu}гa-gprsx])(?:" + "|".join(PATTERNS[t] for t in ("KEY", "TOKEN", "PERSON")) + ")"
+NO_MAIL = r"(?=[0-9a-z\p{Lu}гκ+(])(?:" + "|".join(p for t, p in PATTERNS.items() if t != "EMAIL") + ")"
+NO_DIGIT = NOT_BEFORE + r"(?=[\p{Lu}гκa-gprsx])(?:" + "|".join(PATTERNS[t] for t in ("KEY", "TOKEN", "PERSON")) + ")"
 
 
 def q(text: str) -> str:
@@ -70,7 +82,8 @@ def q(text: str) -> str:
 
 
 def _type(m: str) -> str:
-    return "CASE " + " ".join(f"WHEN {m} rlike {q('^(?:' + p + ')$')} THEN '{t}'" for t, p in PATTERNS.items()) + " END"
+    """The type of a mention; what only its surroundings tell is a person."""
+    return "CASE " + " ".join(f"WHEN {m} rlike {q('^(?:' + p + ')$')} THEN '{t}'" for t, p in PATTERNS.items() if t != "PERSON") + " ELSE 'PERSON' END"
 
 
 def _any_of(word: str, words: list[str] | tuple[str, ...]) -> str:
@@ -83,12 +96,22 @@ def _country(m: str) -> str:
 
 
 def _norm(t: str, m: str) -> str:
-    """What makes two mentions the same: letters and digits without layout; a person's names without the title."""
+    """What makes two mentions the same: letters and digits without layout. Of a person it is the surname."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     return f"""CASE {t} WHEN 'PHONE' THEN concat({_country(m)}, '+', substring({digits}, length({_country(m)}) + 1))
         WHEN 'SSN' THEN {digits} WHEN 'CARD' THEN {digits}
         WHEN 'IBAN' THEN replace({m}, ' ', '') WHEN 'EMAIL' THEN lower({m})
-        WHEN 'PERSON' THEN concat({_gender(m)}, ':', regexp_replace({m}, {q(f'^(?:{_TITLE}|Dr|Prof)[.]? ')}, '')) ELSE {m} END"""
+        WHEN 'PERSON' THEN substring_index({m}, ' ', -1) ELSE {m} END"""
+
+
+def _title(m: str) -> str:
+    return f"regexp_extract({m}, {q(f'^(?:{_TITLE}|Dr|Prof)[.]? ')}, 0)"
+
+
+def _given(m: str) -> str:
+    """gender:given name of a person, or an empty text."""
+    names = f"substring({m}, length({_title(m)}) + 1)"
+    return _one(f"CASE WHEN contains(gv, ' ') THEN concat({_gender(m)}, ':', substring_index(gv, ' ', 1)) ELSE '' END", names, "gv")
 
 
 def _gender(m: str) -> str:
@@ -130,21 +153,37 @@ def _by_class(text: str, stream: str, v: str, hexes: bool = False) -> str:
     lower, upper, cyr = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя"
     pick = lambda s: f"substring('{s}', cast({n} % {len(s)} as int) + 1, 1)"
     hex_case = f"WHEN {c} rlike '[0-9a-f]' THEN {pick('0123456789abcdef')} WHEN {c} rlike '[0-9A-F]' THEN {pick('0123456789ABCDEF')}" if hexes else ""
+    others = " ".join(f"WHEN {c} rlike '\\\\p{{Is{name}}}' THEN decode(unhex(lpad(hex({first} + {n} % {size}), 4, '0')), 'UTF-16BE')" for name, (first, size) in LETTERS.items())
     each = f"""array_join(transform(split({text}, ''), ({v}c, {v}j) -> CASE {hex_case}
         WHEN {c} rlike '[0-9]' THEN {pick('0123456789')} WHEN {c} rlike '[A-Z]' THEN {pick(upper)}
-        WHEN {c} rlike '\\\\p{{IsCyrillic}}' THEN {pick(cyr)} WHEN {c} rlike '\\\\p{{Lu}}' THEN {pick(upper)} WHEN {c} rlike '\\\\p{{L}}' THEN {pick(lower)} ELSE {c} END), '')"""
+        WHEN {c} rlike '[ -~]' THEN CASE WHEN {c} rlike '[a-z]' THEN {pick(lower)} ELSE {c} END
+        WHEN {c} rlike '\\\\p{{IsCyrillic}}' THEN {pick(cyr)} {others} WHEN {c} rlike '\\\\p{{N}}' THEN {pick('0123456789')} WHEN {c} rlike '\\\\p{{Lu}}' THEN {pick(upper)} WHEN {c} rlike '\\\\p{{L}}' THEN {pick(lower)} ELSE {c} END), '')"""
     return _one(each, stream, f"{v}b")
 
 
-def _person(seed: str, norm: str, attempt: str) -> str:
-    """gender:First Last, by a hash; each further attempt has a longer surname."""
-    hashed = f"sha2({seed}, 256)"
-    cyr = f"{norm} rlike '\\\\p{{IsCyrillic}}'"
-    pick = lambda words, at: f"element_at(array({', '.join(map(q, words))}), cast({_number(f'substring({hashed}, {at}, 6)')} % {len(words)} as int) + 1)"
-    first = "CASE " + " ".join(f"WHEN {'' if s == 'cyrillic' else 'NOT '}({cyr}) AND {norm} {'NOT ' if g == 'm' else ''}LIKE 'f:%' THEN {pick(FIRST[g, s], 1)}" for g, s in FIRST) + " END"
-    both = lambda v: f"CASE WHEN {cyr} THEN element_at(array({', '.join(map(q, SYLLABLES['cyrillic']))}), cast({v} % {len(SYLLABLES['cyrillic'])} as int) + 1) ELSE element_at(array({', '.join(map(q, SYLLABLES['latin']))}), cast({v} % {len(SYLLABLES['latin'])} as int) + 1) END"
-    last = f"initcap(array_join(transform(sequence(0, 2 + cast({attempt} as int)), ps -> {both(_number('substring(' + hashed + ', 7 + 4 * ps, 4)'))}), ''))"
-    return f"concat(substring({norm}, 1, 2), {first}, ' ', {last})"
+def _script(text: str) -> str:
+    return f"CASE WHEN {text} rlike '\\\\p{{IsCyrillic}}' THEN 'cyrillic' WHEN {text} rlike '\\\\p{{IsGreek}}' THEN 'greek' ELSE 'latin' END"
+
+
+def _made_up(hashed: str, n: str, script: str) -> str:
+    """A word of n syllables of a script."""
+    number = _number(f"substring(sha2(concat({hashed}, ps), 256), 1, 8)")
+    pick = " ".join(f"WHEN '{s}' THEN element_at(array({', '.join(map(q, words))}), cast({number} % {len(words)} as int) + 1)" for s, words in SYLLABLES.items())
+    return f"initcap(array_join(transform(sequence(1, {n}), ps -> CASE {script} {pick} END), ''))"
+
+
+def _surname(seed: str, norm: str, attempt: str) -> str:
+    """A made-up surname of the same script; each further attempt has a longer one."""
+    return _one(_one(_made_up("ph", f"3 + {attempt}", "sc"), _script(norm), "sc"), f"sha2({seed}, 256)", "ph")
+
+
+def _first_name(seed: str, norm: str, attempt: str) -> str:
+    """A given name of the gender before the colon (of either, if that isn't known) and of the same script; from the fifth attempt on with a second part, each a longer one."""
+    number = _number("substring(ph, 1, 8)")
+    pools = {(g, s): FIRST[g, s] for g, s in FIRST} | {("n", s): FIRST["m", s] + FIRST["f", s] for _, s in FIRST}
+    pick = " ".join(f"WHEN sc = '{s}' AND left({norm}, 1) = '{g}' THEN element_at(array({', '.join(map(q, words))}), cast({number} % {len(words)} as int) + 1)" for (g, s), words in pools.items())
+    second = f"CASE WHEN {attempt} > 3 THEN concat('-', {_made_up('ph', f'{attempt} - 2', 'sc')}) ELSE '' END"
+    return _one(_one(f"concat(CASE {pick} END, {second})", _script(norm), "sc"), f"sha2({seed}, 256)", "ph")
 
 
 def _surrogate(key: str, t: str, norm: str, attempt: str) -> str:
@@ -168,14 +207,15 @@ def _surrogate(key: str, t: str, norm: str, attempt: str) -> str:
     local, domain = f"substring_index({norm}, '@', 1)", f"substring_index({norm}, '@', -1)"
     host = f"left({domain}, length({domain}) - length(substring_index({domain}, '.', -1)))"
     site = f"concat({q(key)}, '|SITE|', {domain})"
-    email = f"concat({_by_class(local, _stream(own, f'length({local})', 'es'), 'el')}, '@', {_by_class(host, _stream(site, f'length({host})', 'hs'), 'eh')}, substring_index({domain}, '.', -1))"
+    longer = f"concat({local}, repeat('a', cast(greatest({attempt} - 3, 0) as int)))"  # few letters have few surrogates
+    email = f"concat({_by_class(longer, _stream(own, f'length({longer})', 'es'), 'el')}, '@', {_by_class(host, _stream(site, f'length({host})', 'hs'), 'eh')}, substring_index({domain}, '.', -1))"
     prefix = f"regexp_extract({norm}, '^(?:AKIA|ASIA|[a-z]+[-_]|eyJ)', 0)"
     rest = f"substring({norm}, length({prefix}) + 1)"
-    return f"""CASE {t} WHEN 'PHONE' THEN concat({country}, '+', {_feistel(number, salt, 'p')})
-        WHEN 'SSN' THEN {_feistel(norm, salt, 'n')} WHEN 'CARD' THEN {card} WHEN 'IP' THEN {ip} WHEN 'IBAN' THEN {iban}
-        WHEN 'EMAIL' THEN {email} WHEN 'KEY' THEN concat({prefix}, {_by_class(rest, _stream(own, f'length({rest})', 'ks'), 'k')})
-        WHEN 'TOKEN' THEN {_by_class(norm, _stream(own, f'length({norm})', 'ts'), 't', True)}
-        WHEN 'PERSON' THEN {_person(own, norm, attempt)} ELSE {norm} END"""
+    return f"""CASE WHEN {attempt} < 0 THEN concat('[', {t}, ' ', substring(sha2({own}, 256), 1, 20), ']') WHEN {t} = 'PHONE' THEN concat({country}, '+', {_feistel(number, salt, 'p')})
+        WHEN {t} = 'SSN' THEN {_feistel(norm, salt, 'n')} WHEN {t} = 'CARD' THEN {card} WHEN {t} = 'IP' THEN {ip} WHEN {t} = 'IBAN' THEN {iban}
+        WHEN {t} = 'EMAIL' THEN {email} WHEN {t} = 'KEY' THEN concat({prefix}, {_by_class(rest, _stream(own, f'length({rest})', 'ks'), 'k')})
+        WHEN {t} = 'TOKEN' THEN {_by_class(norm, _stream(own, f'length({norm})', 'ts'), 't', True)}
+        WHEN {t} = 'PERSON' THEN {_surname(own, norm, attempt)} WHEN {t} = 'GIVEN' THEN {_first_name(own, norm, attempt)} ELSE {norm} END"""
 
 
 def _written(t: str, m: str, s: str) -> str:
@@ -185,16 +225,7 @@ def _written(t: str, m: str, s: str) -> str:
     digits = f"regexp_replace({s}, '[^0-9A-Z]', '')"
     filled = f"array_join(transform(sequence(1, length({m})), wj -> CASE WHEN {c} rlike '[0-9A-Z]' THEN substring({digits}, {place}, 1) ELSE {c} END), '')"
     cased = f"array_join(zip_with(split({m}, ''), split({s}, ''), (wa, wb) -> CASE WHEN wa rlike '\\\\p{{Lu}}' THEN upper(wb) ELSE wb END), '')"
-    title = f"regexp_extract({m}, {q(f'^(?:{_TITLE}|Dr|Prof)[.]? ')}, 0)"
-    names = f"substring({s}, 3)"
-    one = f"{m} rlike {q(f'^(?:{_TITLE}|Dr|Prof)[.]? {_NAME}$')}"
-    return f"""CASE WHEN {t} IN ('PHONE', 'SSN', 'CARD', 'IBAN') THEN {filled} WHEN {t} = 'EMAIL' THEN {cased}
-        WHEN {t} = 'PERSON' THEN concat({title}, CASE WHEN {one} THEN substring_index({names}, ' ', -1) ELSE {names} END) ELSE {s} END"""
-
-
-def _told(t: str, norm: str, s: str) -> str:
-    """What a surrogate tells in a text: of a person only the surname, if the value is one behind a title, or the names, without the gender."""
-    return f"CASE WHEN {t} = 'PERSON' THEN CASE WHEN contains({norm}, ' ') THEN substring({s}, 3) ELSE substring_index({s}, ' ', -1) END ELSE {s} END"
+    return f"""CASE WHEN {s} LIKE '[%]' THEN {s} WHEN {t} IN ('PHONE', 'SSN', 'CARD', 'IBAN') THEN {filled} WHEN {t} = 'EMAIL' THEN {cased} ELSE {s} END"""
 
 
 def _one(expr: str, value: str, name: str) -> str:
@@ -213,57 +244,67 @@ def hits(text: str) -> str:
 
 
 def mentions(text_col: str) -> Column:
-    """array<struct<type, norm>> of a text, in order."""
-    each = _one("named_struct('type', mt, 'norm', " + _norm("mt", "mm") + ")", _type("mm"), "mt")
-    return F.expr(f"transform({hits(f'`{text_col}`')}, mm -> {each})")
+    """array<struct<type, norm>> of a text, in order; a person is a surname and, if it has one, a given name."""
+    own = "named_struct('type', mt, 'norm', " + _norm("mt", "mm") + ")"
+    given = _one("CASE WHEN gn = '' THEN array() ELSE array(named_struct('type', 'GIVEN', 'norm', gn)) END", _given("mm"), "gn")
+    each = _one(f"CASE WHEN mt = 'PERSON' THEN concat(array({own}), {given}) ELSE array({own}) END", _type("mm"), "mt")
+    return F.expr(f"flatten(transform({hits(f'`{text_col}`')}, mm -> {each}))")
 
 
 def values(docs: DataFrame, key: str, id_col: str, text_col: str, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
-    """The mentions (id, type, norm; distinct) and the values that need an attempt over 0 (type, norm, attempt), both in the shared folder."""
+    """The mentions (id, type, norm; distinct) and the values that need an attempt other than 0 (type, norm, attempt), both in the shared folder."""
     found = docs.select(F.col(id_col).alias("id"), F.explode(mentions(text_col)).alias("e"))
     found = cut(found.select("id", "e.type", "e.norm").distinct())
     every = found.select("type", "norm").distinct().withColumn("attempt", F.lit(0))
-    told = F.expr(_told("type", "norm", _surrogate(key, "type", "norm", "attempt")))
-    own = F.expr("CASE WHEN type = 'PERSON' THEN substring(norm, 3) ELSE norm END")
+    told = F.expr(_surrogate(key, "type", "norm", "attempt"))
     now = cut(every.withColumn("s", told))
-    for _ in range(rounds):
+    # A surrogate must be no real value of its type; a given name only not the person's own, as lists of names are short.
+    reals = now.select("type", F.col("norm").alias("s"))
+    meant = F.when(F.col("type") == "GIVEN", F.concat(F.substring("norm", 1, 2), F.col("s"))).otherwise(F.col("s"))
+    for left in range(rounds, -1, -1):
         first = now.groupBy("type", "s").agg(F.min(F.struct("attempt", "norm")).alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         clash = now.join(first, ["type", "s"]).filter("norm != owner.norm").select("type", "norm")
-        bad = cut(clash.union(now.filter((F.col("s") == own) & (F.length("norm") > 2)).select("type", "norm")).distinct().withColumn("bad", F.lit(1)))
+        own = now.filter((F.col("type") == "GIVEN") & (meant == F.col("norm"))).select("type", "norm")
+        real = now.filter("type != 'GIVEN'").join(reals, ["type", "s"], "left_semi").select("type", "norm")
+        bad = cut(clash.union(own).union(real).distinct().withColumn("bad", F.lit(1)))
         if bad.isEmpty():
-            return found, now.filter("attempt > 0").select("type", "norm", "attempt")
-        again = now.join(bad, ["type", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(0)))
+            break
+        step = F.col("attempt") + F.coalesce("bad", F.lit(0)) if left else F.when(F.col("bad") == 1, -1).otherwise(F.col("attempt"))
+        again = now.join(bad, ["type", "norm"], "left").withColumn("attempt", step)
         now = cut(again.withColumn("s", F.when(F.col("bad") == 1, told).otherwise(F.col("s"))).drop("bad"))
-    raise RuntimeError("surrogates still collide; the space of a type is too small for its values")
+    return found, now.filter("attempt != 0").select("type", "norm", "attempt")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities", few: int = 500_000) -> DataFrame:
-    """All columns of docs with surrogates in the text, and the number of mentions in `count_col` if it is named.
+    """All columns of docs with surrogates in the text, and the number of mentions in `count_col` if it is named (with an underscore behind it, if docs has that column).
 
-    A null text stays null and counts 0. Ids serve only to find the rows that hold a value with a further
-    attempt, so null and repeated ids are allowed. Those rows' attempts are broadcast if they are at most
-    `few` rows, else joined by shuffling. Texts are not shuffled otherwise. The same key gives the same
-    surrogates for the same corpus.
+    A null text stays null and counts 0; an empty one stays empty; an empty table gives an empty one. Ids serve only to find the rows that hold a value with a further
+    attempt, so null and repeated ids are allowed, and repeated rows get equal texts. Those rows' attempts are broadcast if they are at most
+    `few` rows, else joined by shuffling. Texts are not shuffled otherwise. Of two entities that begin at one place the earlier
+    type of PATTERNS is taken. The same key gives the same surrogates for the same corpus.
     """
     found, again = values(docs, key, id_col, text_col)
     some = not again.isEmpty()
+    again_id, again_map, all_hits = (fresh(docs.columns, c) for c in ("again_id", "again_map", "surrogate_hits"))
     if some:
         small = again.limit(few + 1).count() <= few
-        attempts = found.join(F.broadcast(again) if small else again, ["type", "norm"]).groupBy(F.col("id").alias("again_id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "type", "norm"), "attempt"))).alias("again_map"))
+        attempts = found.join(F.broadcast(again) if small else again, ["type", "norm"]).groupBy(F.col("id").alias(again_id)).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "type", "norm"), "attempt"))).alias(again_map))
         attempts = cut(attempts)
         near = attempts.limit(few + 1).count() <= few
-        docs_in = docs.join(F.broadcast(attempts) if near else attempts, F.col(id_col).eqNullSafe(F.col("again_id")), "left")
+        docs_in = docs.join(F.broadcast(attempts) if near else attempts, F.col(id_col).eqNullSafe(F.col(again_id)), "left")
     else:
         docs_in = docs
+    release(found)
     text = f"`{text_col}`"
-    attempt = "coalesce(try_element_at(again_map, concat_ws('|', mt, mn)), 0)" if some else "0"
-    one = _one(_one(_one(_written("mt", "mm", "ms"), _surrogate(key, "mt", "mn", "ma"), "ms"), attempt, "ma"), _norm("mt", "mm"), "mn")
-    one = _one(one, _type("mm"), "mt")
+    attempt = lambda t, norm: f"coalesce(try_element_at(`{again_map}`, concat_ws('|', {t}, {norm})), 0)" if some else "0"
+    one = _one(_one(_one(_written("mt", "mm", "ms"), _surrogate(key, "mt", "mn", "ma"), "ms"), attempt("mt", "mn"), "ma"), _norm("mt", "mm"), "mn")
+    first = _one(_one(f"CASE WHEN gn = '' THEN '' ELSE concat({_surrogate(key, q('GIVEN'), 'gn', 'ga')}, ' ') END", attempt(q("GIVEN"), "gn"), "ga"), _given("mm"), "gn")
+    one = _one(f"CASE WHEN mt = 'PERSON' THEN concat({_title('mm')}, {first}, {one}) ELSE {one} END", _type("mm"), "mt")
     gaps = _cases(text, f"split({text}, {{p}}, -1)")
-    put = f"array_join(flatten(zip_with({gaps}, surrogate_hits, (g, mm) -> CASE WHEN mm IS NULL THEN array(g) ELSE array(g, {one}) END)), '')"
-    docs_in = docs_in.withColumn("surrogate_hits", F.expr(hits(text)))
+    put = f"array_join(flatten(zip_with({gaps}, `{all_hits}`, (g, mm) -> CASE WHEN mm IS NULL THEN array(g) ELSE array(g, {one}) END)), '')"
+    docs_in = docs_in.withColumn(all_hits, F.expr(hits(text)))
     out = {c: F.col(c) for c in docs.columns}
-    out[text_col] = F.expr(f"CASE WHEN size(surrogate_hits) > 0 THEN {put} ELSE {text} END")
+    out[text_col] = F.expr(f"CASE WHEN size(`{all_hits}`) > 0 THEN {put} ELSE {text} END")
     if count_col:
-        out[count_col] = F.expr("cast(greatest(coalesce(size(surrogate_hits), 0), 0) as bigint)")
+        out[fresh(docs.columns, count_col)] = F.expr(f"cast(greatest(coalesce(size(`{all_hits}`), 0), 0) as bigint)")
     return docs_in.select(*(c.alias(n) for n, c in out.items()))
