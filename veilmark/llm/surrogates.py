@@ -147,17 +147,18 @@ def _luhn(payload: str, v: str) -> str:
     return f"pmod(-aggregate(sequence(0, length({payload}) - 1), 0, ({v}a, {v}i) -> {v}a + CASE WHEN {v}i % 2 = 1 THEN {d} WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END), 10)"
 
 
-def _by_class(text: str, stream: str, v: str, hexes: bool = False) -> str:
-    """Each letter or digit of a text by one of its class; other signs stay."""
+def _by_class(text: str, stream: str, v: str, hexes: bool = False, scripts: bool = False) -> str:
+    """Each letter or digit of a text by one of its class (with `scripts`, not only those of ASCII); other signs stay."""
     c, n = f"{v}c", _number(f"substring({v}b[cast({v}j div 32 as int)], 2 * ({v}j % 32) + 1, 2)")
     lower, upper, cyr = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя"
     pick = lambda s: f"substring('{s}', cast({n} % {len(s)} as int) + 1, 1)"
     hex_case = f"WHEN {c} rlike '[0-9a-f]' THEN {pick('0123456789abcdef')} WHEN {c} rlike '[0-9A-F]' THEN {pick('0123456789ABCDEF')}" if hexes else ""
-    others = " ".join(f"WHEN {c} rlike '\\\\p{{Is{name}}}' THEN decode(unhex(lpad(hex({first} + {n} % {size}), 4, '0')), 'UTF-16BE')" for name, (first, size) in LETTERS.items())
+    more = ""
+    if scripts:
+        rows = " ".join(f"WHEN {c} rlike '\\\\p{{Is{name}}}' THEN decode(unhex(lpad(hex({first} + {n} % {size}), 4, '0')), 'UTF-16BE')" for name, (first, size) in LETTERS.items())
+        more = f"WHEN {c} < chr(128) THEN {c} WHEN {c} rlike '\\\\p{{IsCyrillic}}' THEN {pick(cyr)} {rows} WHEN {c} rlike '\\\\p{{N}}' THEN {pick('0123456789')} WHEN {c} rlike '\\\\p{{Lu}}' THEN {pick(upper)} WHEN {c} rlike '\\\\p{{L}}' THEN {pick(lower)}"
     each = f"""array_join(transform(split({text}, ''), ({v}c, {v}j) -> CASE {hex_case}
-        WHEN {c} rlike '[0-9]' THEN {pick('0123456789')} WHEN {c} rlike '[A-Z]' THEN {pick(upper)}
-        WHEN {c} rlike '[ -~]' THEN CASE WHEN {c} rlike '[a-z]' THEN {pick(lower)} ELSE {c} END
-        WHEN {c} rlike '\\\\p{{IsCyrillic}}' THEN {pick(cyr)} {others} WHEN {c} rlike '\\\\p{{N}}' THEN {pick('0123456789')} WHEN {c} rlike '\\\\p{{Lu}}' THEN {pick(upper)} WHEN {c} rlike '\\\\p{{L}}' THEN {pick(lower)} ELSE {c} END), '')"""
+        WHEN {c} rlike '[0-9]' THEN {pick('0123456789')} WHEN {c} rlike '[A-Z]' THEN {pick(upper)} WHEN {c} rlike '[a-z]' THEN {pick(lower)} {more} ELSE {c} END), '')"""
     return _one(each, stream, f"{v}b")
 
 
@@ -186,6 +187,17 @@ def _first_name(seed: str, norm: str, attempt: str) -> str:
     return _one(_one(f"concat(CASE {pick} END, {second})", _script(norm), "sc"), f"sha2({seed}, 256)", "ph")
 
 
+def _tag(t: str, own: str) -> str:
+    """What stands for a value that finds no surrogate of its format."""
+    return f"concat('[', {t}, ' ', substring(sha2({own}, 256), 1, 20), ']')"
+
+
+def _given_surrogate(key: str, norm: str, attempt: str) -> str:
+    """What _surrogate() gives for a given name."""
+    own = f"concat({q(key)}, '|GIVEN|', {attempt}, '|', {norm})"
+    return f"CASE WHEN {attempt} < 0 THEN {_tag(q('GIVEN'), own)} ELSE {_first_name(own, norm, attempt)} END"
+
+
 def _surrogate(key: str, t: str, norm: str, attempt: str) -> str:
     """The surrogate of a value in normal form, in normal form."""
     salt = f"concat({q(key)}, '|', {t}, '|', {attempt})"
@@ -208,14 +220,14 @@ def _surrogate(key: str, t: str, norm: str, attempt: str) -> str:
     host = f"left({domain}, length({domain}) - length(substring_index({domain}, '.', -1)))"
     site = f"concat({q(key)}, '|SITE|', {domain})"
     longer = f"concat({local}, repeat('a', cast(greatest({attempt} - 3, 0) as int)))"  # few letters have few surrogates
-    email = f"concat({_by_class(longer, _stream(own, f'length({longer})', 'es'), 'el')}, '@', {_by_class(host, _stream(site, f'length({host})', 'hs'), 'eh')}, substring_index({domain}, '.', -1))"
+    email = f"concat({_by_class(longer, _stream(own, f'length({longer})', 'es'), 'el', scripts=True)}, '@', {_by_class(host, _stream(site, f'length({host})', 'hs'), 'eh')}, substring_index({domain}, '.', -1))"
     prefix = f"regexp_extract({norm}, '^(?:AKIA|ASIA|[a-z]+[-_]|eyJ)', 0)"
     rest = f"substring({norm}, length({prefix}) + 1)"
-    return f"""CASE WHEN {attempt} < 0 THEN concat('[', {t}, ' ', substring(sha2({own}, 256), 1, 20), ']') WHEN {t} = 'PHONE' THEN concat({country}, '+', {_feistel(number, salt, 'p')})
+    return f"""CASE WHEN {attempt} < 0 THEN {_tag(t, own)} WHEN {t} = 'PHONE' THEN concat({country}, '+', {_feistel(number, salt, 'p')})
         WHEN {t} = 'SSN' THEN {_feistel(norm, salt, 'n')} WHEN {t} = 'CARD' THEN {card} WHEN {t} = 'IP' THEN {ip} WHEN {t} = 'IBAN' THEN {iban}
         WHEN {t} = 'EMAIL' THEN {email} WHEN {t} = 'KEY' THEN concat({prefix}, {_by_class(rest, _stream(own, f'length({rest})', 'ks'), 'k')})
         WHEN {t} = 'TOKEN' THEN {_by_class(norm, _stream(own, f'length({norm})', 'ts'), 't', True)}
-        WHEN {t} = 'PERSON' THEN {_surname(own, norm, attempt)} WHEN {t} = 'GIVEN' THEN {_first_name(own, norm, attempt)} ELSE {norm} END"""
+        WHEN {t} = 'PERSON' THEN {_surname(own, norm, attempt)} ELSE {norm} END"""
 
 
 def _written(t: str, m: str, s: str) -> str:
@@ -256,7 +268,7 @@ def values(docs: DataFrame, key: str, id_col: str, text_col: str, rounds: int =
     found = docs.select(F.col(id_col).alias("id"), F.explode(mentions(text_col)).alias("e"))
     found = cut(found.select("id", "e.type", "e.norm").distinct())
     every = found.select("type", "norm").distinct().withColumn("attempt", F.lit(0))
-    told = F.expr(_surrogate(key, "type", "norm", "attempt"))
+    told = F.expr(f"CASE WHEN type = 'GIVEN' THEN {_given_surrogate(key, 'norm', 'attempt')} ELSE {_surrogate(key, 'type', 'norm', 'attempt')} END")
     now = cut(every.withColumn("s", told))
     # A surrogate must be no real value of its type; a given name only not the person's own, as lists of names are short.
     reals = now.select("type", F.col("norm").alias("s"))
@@ -298,8 +310,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     text = f"`{text_col}`"
     attempt = lambda t, norm: f"coalesce(try_element_at(`{again_map}`, concat_ws('|', {t}, {norm})), 0)" if some else "0"
     one = _one(_one(_one(_written("mt", "mm", "ms"), _surrogate(key, "mt", "mn", "ma"), "ms"), attempt("mt", "mn"), "ma"), _norm("mt", "mm"), "mn")
-    first = _one(_one(f"CASE WHEN gn = '' THEN '' ELSE concat({_surrogate(key, q('GIVEN'), 'gn', 'ga')}, ' ') END", attempt(q("GIVEN"), "gn"), "ga"), _given("mm"), "gn")
-    one = _one(f"CASE WHEN mt = 'PERSON' THEN concat({_title('mm')}, {first}, {one}) ELSE {one} END", _type("mm"), "mt")
+    first = _one(_one(f"CASE WHEN gn = '' THEN '' ELSE concat({_given_surrogate(key, 'gn', 'ga')}, ' ') END", attempt(q("GIVEN"), "gn"), "ga"), _given("mm"), "gn")
+    one = _one(f"concat(CASE WHEN mt = 'PERSON' THEN concat({_title('mm')}, {first}) ELSE '' END, {one})", _type("mm"), "mt")
     gaps = _cases(text, f"split({text}, {{p}}, -1)")
     put = f"array_join(flatten(zip_with({gaps}, `{all_hits}`, (g, mm) -> CASE WHEN mm IS NULL THEN array(g) ELSE array(g, {one}) END)), '')"
     docs_in = docs_in.withColumn(all_hits, F.expr(hits(text)))
