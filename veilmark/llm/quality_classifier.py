@@ -224,8 +224,20 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 80, rate
     return chain
 
 
-def sample(docs: DataFrame, labels: DataFrame, bound: int, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """At most `bound` labelled documents outside the held-out fold, the first by a hash of the id; what reaches the driver is their bins."""
+def thinned(bins: np.ndarray, sizes: np.ndarray, most: int, run: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """All lines, or of more than `most` evenly spread runs of neighbours, at most so many."""
+    if len(bins) <= most:
+        return bins, sizes
+    runs = -(-len(bins) // run)
+    kept = np.arange(len(bins)) // run % -(-runs // max(1, most // run)) == 0
+    return bins[kept], sizes[kept]
+
+
+def sample(docs: DataFrame, labels: DataFrame, bound: int, lines: int, id_col: str, text_col: str, label_col: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """At most `bound` labelled documents outside the held-out fold, the first by a hash of the id, with at most `lines` lines each; what reaches the driver is their bins.
+
+    Of several texts of one id the one with the least bins is taken, so that the model is the same every time.
+    """
     # One label a document: repeated rows agree on the majority, ties are bad.
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc_mod(id_col, 4) != 2))
     known = known.groupBy(id_col).agg((F.avg(F.col(label_col).cast("double")) > 0.5).cast("int").alias("y"))
@@ -233,31 +245,31 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int, id_col: str, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [lines_of(t) for t in b.column(1).to_pylist()]
+            got = [thinned(*lines_of(t), lines) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([s.astype(np.float32).tobytes() for _, s in got], pa.binary())], ["id", "y", "bins", "sizes"])
 
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, bins binary, sizes binary")  # at most `bound` small rows
-    rows = rows.dropDuplicates(["id"]).orderBy("id").collect()
+    rows = rows.groupBy("id").agg(F.min(F.struct("y", "bins", "sizes")).alias("r")).select("id", "r.*").orderBy("id").collect()
     return [(np.frombuffer(r["bins"], np.uint8).reshape(-1, len(NAMES)), np.frombuffer(r["sizes"], np.float32).astype(float), r["y"]) for r in rows]
 
 
-def classify(docs: DataFrame, labels: DataFrame, bound: int = 2000, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = (), suffix: str = "") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, bound: int = 2000, lines: int = 2048, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: tuple[str, ...] = (), suffix: str = "") -> DataFrame:
     """The id, columns in `keep`, held_out, score, predicted and n_lines for every row; whole texts, no shuffle of texts.
 
     `suffix` is put behind the new columns' names, where one in `keep` clashes with them.
-    The model is fitted on at most `bound` labelled documents whose crc32(id) mod 4 is not 2. Only the text is
+    The model is fitted on at most `bound` labelled documents whose crc32(id) mod 4 is not 2, and at most `lines` lines of each; every document is scored whole. Only the text is
     looked at. A null or empty text has no lines and gets the share of good ones among labelled empty texts,
     smoothed (0 without such). Without labels of both kinds the score is the one label's side. Null
     ids are scored and not held out (their crc32 is that of an empty text); repeated rows stay.
     """
-    chain = train(sample(docs, labels, bound, id_col, text_col, label_col))
-    score, lines = f"score{suffix}", f"n_lines{suffix}"
+    chain = train(sample(docs, labels, bound, lines, id_col, text_col, label_col))
+    score, counted = f"score{suffix}", f"n_lines{suffix}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [lines_of(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(k) for k in range(2, b.num_columns)), pa.array([chain.score(*x) for x in got], pa.float64()), pa.array([len(s) for _, s in got], pa.int64())], [id_col, *keep, score, lines])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(k) for k in range(2, b.num_columns)), pa.array([chain.score(*x) for x in got], pa.float64()), pa.array([len(s) for _, s in got], pa.int64())], [id_col, *keep, score, counted])
 
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    scored = docs.select(id_col, text_col, *keep).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}{extra}, {score} double, {lines} bigint")
-    return scored.select(id_col, *keep, (crc_mod(id_col, 4) == 2).alias(f"held_out{suffix}"), score, (F.col(score) >= least).cast("int").alias(f"predicted{suffix}"), lines)
+    scored = docs.select(id_col, text_col, *keep).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}{extra}, {score} double, {counted} bigint")
+    return scored.select(id_col, *keep, (crc_mod(id_col, 4) == 2).alias(f"held_out{suffix}"), score, (F.col(score) >= least).cast("int").alias(f"predicted{suffix}"), counted)
