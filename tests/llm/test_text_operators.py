@@ -149,6 +149,41 @@ def test_rules(spark):
     assert quality_rules.apply_rules(docs.limit(0)).count() == 0
 
 
+def test_base_columns_by_sql(spark):
+    """The statistics of a whole table by SQL, and the verdicts by a plain loop of expectation and maximisation over the documents."""
+    import duckdb
+
+    from veilmark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in QUERIES["op10_quality_rules"](spark, sf).collect()}
+    want = duckdb.sql(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '{sf}/documents.parquet'),
+    w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+    g AS (SELECT *, list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS gs FROM w),
+    e AS (SELECT doc_id, unnest(range(1, len(gs) + 1)) AS i, unnest(gs) AS x FROM g), c AS (SELECT doc_id, i FROM e QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+    r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM c, range(3) o(k) GROUP BY doc_id)
+    SELECT doc_id, len(ws), coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), len(ls) - len(list_distinct(ls)), coalesce(r.n, 0) FROM g LEFT JOIN r USING (doc_id)""").fetchall()
+    assert {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got.values()} == set(want)
+    docs = [r for r in got.values() if not r.base_failed]
+    prior, start = 0.7, [{0: 0.5, 1: 0.15, 2: 0.35}, {0: 0.1, 1: 0.6, 2: 0.3}]
+    rules = range(len(quality_rules.RULES))
+    like = [[dict(start[c]) for _ in rules] for c in (0, 1)]
+    for _ in range(200):
+        post = []
+        for r in docs:
+            p = [1 - prior, prior]
+            for c in (0, 1):
+                for k in rules:
+                    p[c] *= like[c][k][int(r.votes[k])]
+            post.append(p[1] / (p[0] + p[1]))
+        for c in (0, 1):
+            for k in rules:
+                mass = {v: start[c][v] + sum((q if c else 1 - q) for r, q in zip(docs, post) if int(r.votes[k]) == v) for v in (0, 1, 2)}
+                like[c][k] = {v: m / sum(mass.values()) for v, m in mass.items()}
+        prior = min(max((sum(post) + 1) / (len(docs) + 2), 1e-6), 1 - 1e-6)
+    assert all(abs(r.quality - q) < 1e-6 for r, q in zip(docs, post)) and all(r.kept is (not r.base_failed and r.quality >= 0.5) for r in got.values())
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(0)
     counts = {}
@@ -183,6 +218,27 @@ def test_forward_backward():
         assert np.allclose(good[0], plain_marginals(chain, b))
 
 
+def test_training_raises_the_likelihood():
+    """The fitted chain is better than all its neighbours in weight space: the gradient that it stops at is that of numeric differences."""
+    rng = np.random.default_rng(2)
+    docs = []
+    for i in range(60):
+        y = i % 2
+        b = np.clip(rng.normal(3 + 3 * y, 1.5, (rng.integers(1, 6), len(quality_classifier.NAMES))), 0, 9).astype(np.uint8)
+        docs.append((b, np.ones(len(b)), y))
+    chain = quality_classifier.train(docs, rounds=400, rate=0.05)
+
+    def fit(c):
+        return sum(float(np.mean(np.log(np.clip(np.where(y, c.marginals(b), 1 - c.marginals(b)), 1e-12, 1)))) for b, _, y in docs) / len(docs)
+
+    best = fit(chain)
+    assert best > -0.05 and all(chain.score(b, s) > 0.5 if y else chain.score(b, s) < 0.5 for b, s, y in docs)
+    assert best > fit(quality_classifier.Chain(chain.weights * 0, chain.first * 0, chain.pair * 0)) + 0.5
+    bins, sizes = np.zeros((5000, 14), np.uint8), np.arange(5000.0)
+    thin = quality_classifier.thinned(bins, sizes, 640)
+    assert len(thin[0]) == len(thin[1]) <= 640 and (thin[1][:64] == np.arange(64)).all() and quality_classifier.thinned(bins, sizes, 5000)[0] is bins
+
+
 def prose(i):
     rng = random.Random(i)
     return "\n".join(" ".join(rng.choice(["the", "river", "stone", "walks", "along", "quiet"]) for _ in range(9)).capitalize() + "." for _ in range(4))
