@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.llm.common import cut
+
 BLANKS = str.maketrans("", "", " \t\n\v\f\r")
 SYMBOLS = "#*$%&|<>"
 
@@ -115,11 +117,12 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     failure; what reaches the driver is one count a pattern, at most 3 ** len(rules). A null or empty text
     has no words and fails; null ids, repeated rows stay; other columns go unless named in `keep`.
     """
+    spark = docs.sparkSession
     stats = document_statistics(docs, id_col, text_col, keep)
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    voted = stats.withColumn("base_failed", failed).withColumn("votes", votes(rules))
+    # The statistics are few numbers a row, written once, as the model needs all of them before the first verdict.
+    voted = cut(stats.withColumn("base_failed", failed).withColumn("votes", votes(rules)))
     counts = {r["votes"]: r["count"] for r in voted.filter("NOT base_failed").groupBy("votes").count().collect()}
-    post = fit(counts)
-    known = F.create_map(*(F.lit(x) for kv in post.items() for x in kv)) if post else None
-    quality = F.coalesce(known[F.col("votes")], F.lit(0.0)) if post else F.lit(0.0)
-    return voted.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).select(id_col, *keep, *STATS[:5], "base_failed", "votes", "quality", "kept")
+    post = spark.createDataFrame([*fit(counts).items()], "votes string, quality double")
+    known = voted.join(F.broadcast(post), "votes", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
+    return known.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).select(id_col, *keep, *STATS[:5], "base_failed", "votes", "quality", "kept")
