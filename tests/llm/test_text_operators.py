@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from veilmark.llm import page_text, quality_classifier, quality_rules, sentence_pieces, token_counts
 from veilmark.llm.queries import model_file
@@ -41,8 +42,11 @@ def test_count_tokens(spark):
     want = [(r.doc_id, len((r.text or "").encode()), n := len(own.encode(r.text or "")), n > 4096) for r in docs.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert token_counts.count_tokens(docs.limit(0), model_file()).count() == 0
-    first = token_counts.prefix_table(docs.filter("text = 'tail '"), model_file()).first().counts
-    assert list(first) == [len(own.encode("tail "[:i])) for i in range(6)]
+    asked = token_counts.answers(token_counts.count_tokens(docs.filter("doc_id IS NOT NULL"), model_file()), F.lit(7), F.lit(3)).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in asked:
+        assert r.count_at_chars == len(own.encode(texts[r.doc_id][:7])) and len(r.prefix_steps) == len(texts[r.doc_id])
+        assert r.chars_within == max(i for i in range(len(texts[r.doc_id][:60]) + 1) if len(own.encode(texts[r.doc_id][:i])) <= 3)
 
 
 def test_pieces_against_the_library(spark):

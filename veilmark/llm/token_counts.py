@@ -8,7 +8,11 @@ those two tokens alone as well. So exactly one token ends the encoding of each p
 
 for the one vocabulary entry t that ends at i and whose pair with the last token of prefix
 i - len(t) is stable. Where no entry has white space behind a letter, no merge crosses the start of a
-word, so the table of a text is the running sum of small tables of its words, which are kept.
+word, so the table of a text is put together from small tables of its words, which are kept.
+
+A table is stored as its steps: a signed byte a character, what the character adds to the count (the longest entry bounds how
+much it can take away). The running sum of a text's steps is the exact count at every prefix: the last one is the text's count,
+and questions about truncation and budgets are answered from it (`count_at`, `fitting`) without the text or the model.
 """
 
 from __future__ import annotations
@@ -18,8 +22,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SPACE = "▁"
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -32,7 +39,7 @@ class Kept(dict):
         super().__init__()
         self.make, self.bound, self.old = make, bound // 2, {}
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= self.bound:
             self.old = dict(self)
             self.clear()
@@ -77,8 +84,10 @@ class PrefixCounter:
         held = {p[i] for p in self.pieces for i in range(1, len(p)) if p[i - 1].isalnum()}
         cuts = "".join(re.escape(c) for c in map(chr, range(1, 128)) if not c.isalnum() and c != "_" and c not in held)
         self.cut = re.compile(rf"(?<=[^\W_])(?=[{cuts}])") if cuts else None
-        part = Kept(lambda p: self.table(p)[-1], kept_words)
-        self.counts = Kept(lambda w: sum(map(part.__getitem__, self.parts(SPACE + w))), kept_words)
+        if self.longest > 120:
+            raise ValueError("an entry is too long for steps of a byte")
+        part = Kept(lambda p: steps_of(self.table(p)), kept_words)
+        self.steps = Kept(lambda w: b"".join(map(part.__getitem__, self.parts(SPACE + w))), kept_words)
         self.stable: dict[int, bool] = {}
 
     def merged(self, chars: str) -> list[str]:
@@ -137,38 +146,46 @@ class PrefixCounter:
         """A word cut before the signs behind a letter that no merge reaches over."""
         return [word] if self.cut is None or word[1:].isalnum() else self.cut.split(word)
 
-    def total(self, text: str | None) -> int:
+    def prefix_steps(self, text: str | None) -> np.ndarray:
+        """The steps (int8) of all characters. The marker before the text comes with its first character."""
         if not text:
-            return 0
+            return np.empty(0, np.int8)
         if SPACE in text or "  " in text or text[0] == " ":
-            return sum(map(self.counts.__getitem__, [w[1:] for w in self.words(text)]))
-        return sum(map(self.counts.__getitem__, text.split(" ")))
+            words = [w[1:] for w in self.words(text)]
+        else:
+            words = text.split(" ")
+        steps = np.frombuffer(b"".join(map(self.steps.__getitem__, words)), np.int8)
+        first = int(steps[0]) + int(steps[1])
+        steps = steps[1:].copy()
+        steps[0] = first
+        return steps
 
     def prefixes(self, text: str | None) -> list[int]:
-        """Token count of text[:i] for i = 0..len(text). The marker before the text comes with its first character."""
-        if not text:
-            return [0]
-        out, base = [0], 0
-        for w in self.words(text):
-            t = self.table(w)
-            out += [base + c for c in t[1:]]
-            base += t[-1]
-        return [0, *out[2:]]
+        """Token count of text[:i] for i = 0..len(text)."""
+        return [0, *np.cumsum(self.prefix_steps(text), dtype=np.int64).tolist()]
 
     def measured(self, text: str | None, budget: int) -> tuple[int, int]:
         """The count of the whole text, and the characters of the longest prefix that fits the budget."""
-        total = self.total(text)
-        if total <= budget:
-            return total, len(text or "")
-        base, at, best = 0, 0, 0
-        for w in self.words(text):
-            if base > budget + self.longest:  # a longer prefix can have fewer tokens, by less than one word's start
-                break
-            t = self.table(w)
-            best = max([best, *(at + i for i in range(1, len(t)) if base + t[i] <= budget)])
-            base += t[-1]
-            at += len(t) - 1
-        return total, max(0, best - 1)
+        steps = self.prefix_steps(text)
+        return int(steps.sum(dtype=np.int64)), fitting(steps, budget)
+
+
+def steps_of(table: list[int]) -> bytes:
+    return bytes([(b - a) & 255 for a, b in zip(table, table[1:])])
+
+
+def count_at(steps: bytes | np.ndarray, n: int) -> int:
+    """The token count of the first n characters."""
+    return int((np.frombuffer(steps, np.int8) if isinstance(steps, bytes) else steps)[: max(n, 0)].sum(dtype=np.int64))
+
+
+def fitting(steps: bytes | np.ndarray, budget: int) -> int:
+    """The characters of the longest prefix with at most `budget` tokens."""
+    steps = np.frombuffer(steps, np.int8) if isinstance(steps, bytes) else steps
+    if np.maximum(steps, 0).sum(dtype=np.int64) <= budget:
+        return len(steps)
+    fit = np.flatnonzero(np.cumsum(steps, dtype=np.int64) <= budget)
+    return int(fit[-1]) + 1 if len(fit) else 0
 
 
 @lru_cache(maxsize=4)
@@ -178,40 +195,43 @@ def counter(model_file: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, model_file: str, budget: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, fit_chars for every row, one row out for each row in.
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars and prefix_steps for every row, one row out for each row in.
 
-    A null or empty text has 0 bytes and 0 tokens. A null id stays null, repeated rows stay repeated,
-    other columns are left out. fit_chars: characters of the longest prefix within the budget.
-    No shuffle; memory is bounded by one batch and the kept tables.
+    prefix_steps: the stored table, a signed byte a code point, whose running sum is the token count at every prefix. fit_chars:
+    characters of the longest prefix within the budget. A null or empty text has 0 bytes, 0 tokens and an empty table. A null
+    id stays null, repeated rows stay repeated, other columns are left out. No shuffle; memory is bounded by one batch and
+    the kept tables.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_file)
         for b in batches:
             texts = b.column(1).to_pylist()
-            got = [c.measured(t, budget) for t in texts]
+            steps = [c.prefix_steps(t) for t in texts]
+            counts = [int(x.sum(dtype=np.int64)) for x in steps]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
-                    pa.array([n for n, _ in got], pa.int64()),
-                    pa.array([n > budget for n, _ in got], pa.bool_()),
-                    pa.array([k for _, k in got], pa.int64()),
+                    pa.array(counts, pa.int64()),
+                    pa.array([n > budget for n in counts], pa.bool_()),
+                    pa.array([fitting(x, budget) for x in steps], pa.int64()),
+                    pa.array([x.tobytes() for x in steps], pa.binary()),
                 ],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_steps"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint")
-
-
-def prefix_table(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and counts array<int>: the token count at every prefix, for questions asked later without encoding anew."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(model_file)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.prefixes(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "counts"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, counts array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint, prefix_steps binary")
+
+
+def answers(tables: DataFrame, chars: Column | None = None, budget: Column | None = None, steps_col: str = "prefix_steps") -> DataFrame:
+    """tables with count_at_chars (tokens of the first so many characters) and chars_within (characters of the longest prefix with so many tokens), as asked, from the stored tables alone."""
+    out = tables
+    if chars is not None:
+        at = F.pandas_udf(lambda s, n: pd.Series([None if x is None or pd.isna(k) else count_at(bytes(x), int(k)) for x, k in zip(s, n)], dtype="Int64"), "bigint")
+        out = out.withColumn("count_at_chars", at(F.col(steps_col), chars))
+    if budget is not None:
+        within = F.pandas_udf(lambda s, n: pd.Series([None if x is None or pd.isna(k) else fitting(bytes(x), int(k)) for x, k in zip(s, n)], dtype="Int64"), "bigint")
+        out = out.withColumn("chars_within", within(F.col(steps_col), budget))
+    return out
