@@ -22,9 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals out the rows of a scan that has fewer tasks than the cluster has cores; other scans stay as they are."""
+    """Deals out the rows of a scan of under 4 MB a core, which would have fewer tasks than the cluster has cores; other scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * 4_000_000 else df
 
 
 def shared_dir(spark: SparkSession) -> str:
