@@ -13,9 +13,11 @@ KINDS = (*TEXT_KINDS, ".docx", ".pdf")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table; `documents` in one file is dealt out over the cores, as work on texts is heavy."""
+    """A Parquet table; `documents` and `customer`, on whose texts the work is heavy, are dealt out over the cores where they have under 4 MB a core."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "customer") and len(df.inputFiles()) == 1 else df
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if name in ("documents", "customer") and size < cores * 4_000_000 else df
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
