@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -59,8 +60,10 @@ def release(*tables: DataFrame) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files that no plan refers to: it does so when the driver's garbage is collected, which may else take long."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold on to more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def fair_share(spark: SparkSession, rows: int) -> int:

@@ -4,7 +4,7 @@ Repeated passages seldom begin at a line, so paragraphs are found by content: of
 shingles the one with the least hash is an anchor, and the 25 words from an anchor are a paragraph. Any
 passage of 50 words that two documents share has such a paragraph in common, wherever it stands. The first and the
 last 25 words of a text are paragraphs too, so a repeated text has some from 25 words on, up to both its ends. A
-paragraph is known by a fingerprint of its shingles; paragraphs with equal fingerprints are one class. Four
+paragraph is known by a 64-bit fingerprint of its shingles, which is checked by the first band; paragraphs with equal ones are one class. Four
 minima, each a band of its own, find nearly equal classes (at a similarity of 0.8 all but 0.2 % of the pairs);
 all classes of a bucket are searched, in blocks of bounded size, for pairs of different documents that are alike on their
 full sets of shingles. Links give clusters, and in a cluster that reaches over documents the first paragraph is kept.
@@ -17,16 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from veilmark.llm.common import WordHashes, cut, mix, shingles
+from veilmark.llm.common import WordHashes, cut, fair_share, hot_keys, mix, release, salted_join, shingles
 from veilmark.llm.components import components
 
 SHINGLE, WORDS, BANDS = 5, 25, 4
 ANCHOR = WORDS + 1
 #: Classes of a bucket that are searched at once, and pairs that are compared at once.
 BLOCK, LOT = 8192, 100_000
+_KEYS = tuple(f"k{i}" for i in range(BANDS))
 _BAND_KEYS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -62,10 +64,16 @@ def paragraph_sets(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h[at[:, None] + np.arange(WORDS - SHINGLE + 1)]
 
 
+def band_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row a band: of each paragraph the shingle that is least after mixing with the band's key."""
+    k = _BAND_KEYS[:, None]
+    return mix(h[None] ^ k)[:, at[:, None] + np.arange(WORDS - SHINGLE + 1)].min(axis=2) ^ k
+
+
 def fingerprints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each paragraph's shingles that doesn't depend on their order: a sum of mixed hashes."""
+    """A hash of each paragraph's shingles that doesn't depend on their order: a sum of mixed hashes. Its lowest bit is 0, to be free for a mark."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x2545F4914F6CDD1D)))])
-    return mix(sums[at + WORDS - SHINGLE + 1] - sums[at]).view(np.int64)
+    return (mix(sums[at + WORDS - SHINGLE + 1] - sums[at]) & ~np.uint64(1)).view(np.int64)
 
 
 def hashed(text: str | None, words: WordHashes) -> np.ndarray:
@@ -74,7 +82,7 @@ def hashed(text: str | None, words: WordHashes) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, at (word), fp, keys (the bands)."""
+    """id, at (word), fp, and the band keys k0, k1, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -87,35 +95,41 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ids.append(np.full(len(places), row))
                     at.append(places)
                     fps.append(fingerprints(h, places))
-                    # A band: the shingle that is least after mixing with the band's key.
-                    keys.append(np.stack([paragraph_sets(mix(h ^ k), places).min(axis=1) ^ k for k in _BAND_KEYS], axis=1).ravel())
+                    keys.append(band_keys(h, places))
             if ids:
-                flat = np.concatenate(keys).view(np.int64)
-                ends = np.arange(0, flat.size + 1, BANDS, dtype=np.int32)
+                bands = np.concatenate(keys, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(fps)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["id", "at", "fp", "keys"],
+                    [b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(fps)), *map(pa.array, bands)],
+                    ["id", "at", "fp", *_KEYS],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, at bigint, fp bigint, keys array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, at int, fp bigint, " + ", ".join(f"{k} bigint" for k in _KEYS))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, few: int) -> DataFrame:
-    """fp, items: the shingles of one paragraph of each class in `wanted` (fp, id, at), made anew from the texts."""
-    places = cut(wanted.groupBy(F.col("id").alias("want_id")).agg(F.collect_list("at").alias("ats")))
-    small = places.limit(few + 1).count() <= few and wanted.count() <= 4 * few
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(places) if small else places, F.col("id").eqNullSafe(F.col("want_id"))).select("text", "ats")
+def _sets_of(docs: DataFrame, wanted: DataFrame, few: int) -> DataFrame:
+    """fp, items: the shingles of one paragraph of each class in `wanted` (low, fp, and raw if that differs), made anew from the texts (id, text); raw is the paragraph's own fingerprint."""
+    own = "raw" in wanted.columns
+    places = cut(wanted.groupBy(F.col("low").alias("want_id")).agg(F.collect_list("raw" if own else "fp").alias("raws"), *([F.collect_list("fp").alias("fps")] if own else [])))
+    # Eight bytes each; texts are shuffled only where there are more.
+    small = wanted.limit(max(0, 4 * few + 1)).count() <= 4 * few
+    rows = docs.join(F.broadcast(places) if small else places, F.col("id") == F.col("want_id")).select("text", "raws", "fps" if own else F.lit(None).cast("array<bigint>").alias("fps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
             fps, items = [], []
-            for t, ats in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for t, raws, names in zip(*(b.column(c).to_pylist() for c in range(3))):
                 h = hashed(t, words)
-                at = np.array([a for a in set(ats) if a + WORDS - SHINGLE < len(h)], np.int64)  # an id may stand for several texts
+                at = anchors(h)
                 if len(at):
-                    fps.append(fingerprints(h, at))
-                    items.append(paragraph_sets(h, at))
+                    # An id may stand for several texts: only places with a wanted fingerprint count.
+                    asked, own = np.array(raws, np.int64), fingerprints(h, at)
+                    order = np.argsort(own, kind="stable")
+                    k = np.minimum(np.searchsorted(own[order], asked), len(own) - 1)
+                    there = own[order][k] == asked
+                    if there.any():
+                        fps.append(np.array(names or raws, np.int64)[there])
+                        items.append(paragraph_sets(h, at[order][k][there]))
             if fps:
                 flat = np.concatenate(items)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.ravel().view(np.int64)))], ["fp", "items"])
@@ -197,15 +211,11 @@ def _links(group: np.ndarray, side: np.ndarray, across: np.ndarray, doc: np.ndar
 def links_of_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links u, v of alike classes of different documents within each bucket, enough to connect what any link of the bucket connects.
 
-    members: key, fp, doc (null: several). A bucket of over BLOCK classes is cut in blocks, and each pair of blocks is a group of its own.
+    members: key, m (its classes), fp, doc (null: several). A bucket of over BLOCK classes is cut in blocks, and each pair of blocks is a group of its own.
     """
-    large = cut(members.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")))
-    if large.isEmpty():
-        dealt = members.withColumn("mine", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    else:
-        dealt = members.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("int"))
-        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
     rows = dealt.join(sets, "fp").select("key", "i", "j", "mine", "fp", F.coalesce("doc", F.lit(0)).alias("doc"), "items")
 
     def search(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
@@ -238,45 +248,99 @@ def links_of_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u bigint, v bigint")
 
 
+def _addressed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column | None]:
+    """id and text, where a row without an id has a stand-in from its text that sorts behind all ids, and a condition that tells stand-ins (None: there are none)."""
+    rows, key = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col(id_col)
+    if docs.filter(key.isNull()).isEmpty():
+        return rows, None
+    if isinstance(docs.schema[id_col].dataType, StringType):
+        return rows.withColumn("id", F.coalesce("id", F.concat(F.lit("\U0010ffff"), F.md5("text")))), F.col("id").startswith("\U0010ffff")
+    first = 2**62
+    return rows.withColumn("id", F.coalesce(F.col("id").cast("bigint"), F.lit(first) + F.shiftrightunsigned(F.xxhash64("text"), 2))), F.col("id") >= first
+
+
+def _classes(all_: DataFrame) -> DataFrame:
+    """fp, low and high (ids), the band keys, and last: the greatest first band key, which is k0 where all paragraphs of the class are equal."""
+    return cut(all_.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"), *(F.min(k).alias(k) for k in _KEYS), F.max("k0").alias("last")))
+
+
+def _met(classes: DataFrame, fair: int) -> DataFrame:
+    """key, m, fp, low, doc of the classes that have a band key with another class and document. doc: a mark of the document of a class that only one has.
+
+    Keys go to one task each, in one shuffle of three numbers a row, but for those that a sample of the classes shows to be very frequent: their
+    facts are summed before they are shuffled, and their rows stay where they are. The sample decides only which way a key takes.
+    """
+    # The lowest bit of a class says that several documents have it.
+    bands = classes.select(F.col("fp").bitwiseOR((F.col("low") != F.col("high")).cast("bigint")).alias("of"), "low", F.explode(F.array(*_KEYS)).alias("key"))
+    one_in = 16
+    seen = bands.filter(F.pmod(F.xxhash64("of"), F.lit(one_in)) == 0).groupBy("key").count()
+    hot = cut(seen.filter(F.col("count") > max(16, fair // one_in)).select("key"))  # at most (all rows) / fair
+    several = F.col("of").bitwiseAND(F.lit(1)) == 1
+    facts = {"m": F.count(F.lit(1)), "f0": F.min("of"), "f1": F.max("of"), "d0": F.min("low"), "d1": F.max("low"), "s": F.max(several)}
+    of_key = Window.partitionBy("key")
+    cold = bands if hot.isEmpty() else bands.join(F.broadcast(hot), "key", "left_anti")
+    rows = cold.repartition("key").select("key", "of", "low", *(f.over(of_key).alias(n) for n, f in facts.items()))
+    if cold is not bands:
+        stay = bands.join(F.broadcast(hot), "key", "left_semi")
+        rows = rows.unionByName(stay.join(F.broadcast(stay.groupBy("key").agg(*(f.alias(n) for n, f in facts.items()))), "key"))
+    # A key that one class or one document alone has makes no pair, as a document isn't compared with itself.
+    return rows.filter("f0 != f1 AND (s OR d0 != d1)").select("key", "m", F.col("of").bitwiseAND(F.lit(-2)).alias("fp"), "low", F.when(~several, F.xxhash64("low")).alias("doc"))
+
+
 def repeated_passages(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", few: int = 1_000_000) -> DataFrame:
     """doc id, start_word, end_word, n_words, component_id and kept: a row for each repeated passage of each document.
 
     Words are [^\\x20\\x09-\\x0D]+, A-Z in lower case. A passage is a run of overlapping paragraphs with a cluster
     over several documents and with one answer; component_id is the smallest id among those that hold it, kept says that this is that document.
-    Texts that are null, empty or under 25 words, and rows without an id, have none. Rows repeated with one id don't count as several
-    documents. Each broadcast is of at most `few` rows (places of paragraphs, by text: four times as many in all); beyond, Spark joins by shuffling.
+    Texts that are null, empty or under 25 words have none. Rows repeated with one id don't count as several
+    documents. Rows without an id are documents by their text, behind all ids (whole numbers under 2 ** 62, or texts); their id, and a component_id that
+    is one of theirs, is null. An empty table gives an empty one; other columns go. Each broadcast is of at most `few` rows of three numbers, or four times as many numbers (some 50 MB);
+    beyond, Spark joins by shuffling, with rows of very frequent paragraphs dealt out.
     """
-    all_ = cut(paragraphs(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
-    classes = all_.groupBy("fp").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("high"))
-    classes = cut(classes.select("fp", F.col("first.id").alias("low"), F.col("first.at").alias("at"), "high"))
-    bands = all_.select("fp", "id", F.explode("keys").alias("key"))
-    # One shuffle: by key, in which the classes of each key and then the keys of several are found.
-    of_key = Window.partitionBy("key")
-    members = bands.repartition("key").groupBy("key", "fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    members = members.select("*", F.min("fp").over(of_key).alias("f0"), F.max("fp").over(of_key).alias("f1"), F.min("low").over(of_key).alias("d0"), F.max("high").over(of_key).alias("d1"))
-    # A key that only one document has makes no pair, as a document isn't compared with itself. doc: a mark of the document of a class that only one has.
-    members = cut(members.filter("f0 != f1 AND d0 != d1").select("key", "fp", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).alias("doc")))
-    ends = cut(members.select("fp").distinct())
-    small = ends.limit(few + 1).count() <= few
-    wanted = cut(classes.join(F.broadcast(ends) if small else ends, "fp", "left_semi").select("fp", F.col("low").alias("id"), "at"))
-    sets = _sets_of(docs, wanted, id_col, text_col, few)
-    labels = cut(components(cut(links_of_buckets(members, sets, percent))).select(F.col("node").alias("fp"), "root"))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    docs, unnamed = _addressed(docs, id_col, text_col)
+    all_ = cut(paragraphs(docs, "id", "text"))
+    # Copies of a paragraph become one row before anything else is shuffled.
+    classes, names = _classes(all_), None
+    if not classes.filter("k0 != last").isEmpty():  # unequal paragraphs with one fingerprint: all get another one, from their bands too
+        whole, all_ = all_, cut(all_.withColumn("raw", F.col("fp")).withColumn("fp", F.xxhash64("fp", *_KEYS).bitwiseAND(F.lit(-2))))
+        release(whole, classes)
+        classes, names = _classes(all_), cut(all_.groupBy("fp").agg(F.min("raw").alias("raw")))
+    # Band keys are most of both tables, and are needed no more.
+    whole, all_ = all_, cut(all_.select("id", "at", "fp"))
+    release(whole)
+    members = cut(_met(classes, fair_share(spark, BANDS * classes.count())))
+    whole, classes = classes, cut(classes.select("fp", "low", "high"))
+    release(whole)
+    wanted = members.select("low", "fp").distinct()
+    wanted = cut(wanted.join(names, "fp") if names is not None else wanted)
+    sets = _sets_of(docs, wanted, few)
+    links = cut(links_of_buckets(members.drop("low"), sets, percent))
+    release(members, wanted)
+    labels = cut(components(links).select(F.col("node").alias("fp"), "root"))
     small = labels.limit(few + 1).count() <= few
     # Only classes of several documents and classes with a link can belong to a repeated passage.
     marked = classes.join(F.broadcast(labels) if small else labels, "fp", "left").filter("root IS NOT NULL OR low != high")
     named = cut(marked.select("fp", "low", "high", F.coalesce("root", "fp").alias("root")))
-    groups = named.groupBy("root").agg(F.min("low").alias("component_id"), F.max("high").alias("top")).filter("component_id != top")
-    repeated = cut(named.join(groups, "root").select("fp", "component_id"))
-    small = repeated.limit(few + 1).count() <= few
-    hits = all_.select("id", "at", "fp").join(F.broadcast(repeated) if small else repeated, "fp")
+    groups = named.groupBy("root").agg(F.min("low").alias("component_id"), F.max("high").alias("top"), F.count(F.lit(1)).alias("size")).filter("component_id != top")
+    groups = cut(groups)
+    repeated = cut(salted_join(named, groups, "root", cut(hot_keys(groups, "root", "size", fair_share(spark, named.count()))), "fp").select("fp", "component_id"))
+    rows = all_.select("id", "at", "fp")
+    if repeated.limit(few + 1).count() <= few:
+        hits = rows.join(F.broadcast(repeated), "fp")
+    else:
+        hits = salted_join(rows, repeated, "fp", cut(hot_keys(all_.groupBy("fp").count(), "fp", "count", fair_share(spark, all_.count()))), "id")
     # Runs of overlapping paragraphs with the same answer are one passage.
     per_doc = hits.groupBy("id", "component_id").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    merged = F.expr(f"""aggregate(ats, cast(array() AS array<struct<a: bigint, b: bigint>>), (runs, x) ->
-        CASE WHEN size(runs) > 0 AND runs[size(runs) - 1].b >= x
-             THEN concat(slice(runs, 1, size(runs) - 1), array(named_struct('a', runs[size(runs) - 1].a, 'b', x + {WORDS})))
-             ELSE concat(runs, array(named_struct('a', x, 'b', x + {WORDS}))) END)""")
-    spans = per_doc.select("id", "component_id", F.explode(merged).alias("s"))
-    return spans.select(F.col("id").alias(id_col), F.col("s.a").alias("start_word"), F.col("s.b").alias("end_word"), (F.col("s.b") - F.col("s.a")).alias("n_words"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    starts = F.expr(f"filter(ats, (x, i) -> i = 0 OR x > ats[i - 1] + {WORDS})")
+    ends = F.expr(f"filter(ats, (x, i) -> i = size(ats) - 1 OR ats[i + 1] > x + {WORDS})")
+    spans = per_doc.select("id", "component_id", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("s"))
+    id_, component = F.col("id"), F.col("component_id")
+    if unnamed is not None:
+        spans = spans.withColumn("stood_in", unnamed).withColumnRenamed("id", "own").withColumn("id", component).withColumn("others", unnamed).drop("id").withColumnRenamed("own", "id")
+        id_, component = F.when(F.col("stood_in"), None).otherwise(id_), F.when(F.col("others"), None).otherwise(component)
+    a, b = F.col("s.a"), F.col("s.b") + WORDS
+    return spans.select(id_.cast(kind).alias(id_col), a.alias("start_word"), b.alias("end_word"), (b - a).alias("n_words"), component.cast(kind).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
