@@ -164,7 +164,8 @@ def _links(group: np.ndarray, side: np.ndarray, across: np.ndarray, doc: np.ndar
     """Rows u, v that connect what any alike pair of one group connects. In a group that is `across`, pairs are of different sides; doc 0: several.
 
     Alike sets of n and m values have `percent` of the greater in common, so they share one of the
-    n - ceil(percent n) + 1 least values of either, whatever the order.
+    n - ceil(percent n) + 1 first values of either in any order; here that of how rare they are among the rows, so that
+    a phrase that the whole group has makes no pairs.
     """
     sets = np.sort(sets, axis=1)
     n, width = sets.shape
@@ -178,6 +179,12 @@ def _links(group: np.ndarray, side: np.ndarray, across: np.ndarray, doc: np.ndar
             sets[r, : size[r]] = kept
             sets[r, size[r] :] = mix(np.arange(size[r], width, dtype=np.uint64) + np.uint64(r * width) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
             spare[r] = np.arange(width) >= size[r]
+    values, place, count = np.unique(sets, return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(values))
+    sets = rank[place].reshape(n, width)
+    sets[spare] = len(values) + np.arange(int(spare.sum()))
+    sets.sort(axis=1)
     prefix = size - -(-percent * size // 100) + 1
     head = int(prefix.max())
     comp = np.arange(n)
