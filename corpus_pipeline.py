@@ -5,13 +5,15 @@ Belongs to the llm folder and goes when it goes.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm import mixing, near_dedup, quality_classifier, sentence_pieces, surrogates
-from veilmark.llm.common import BATCH_ROWS, shared_dir, spread
+from veilmark.llm.common import BATCH_ROWS, shared_dir, spread, tidy
 from veilmark.llm.queries import KEY, model_file
 
 
@@ -60,12 +62,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(docs, model_file(), keep=("source",))
 
 
+def tidied(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, after what the stages before it have left in the driver is freed."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("MinHash near-dedup", near_duplicates),
-    ("PII", personal_data),
-    ("mixing sources to target weights", mixture),
-    ("SentencePiece encoding", tokens),
+    ("quality classifier", tidied(quality)),
+    ("MinHash near-dedup", tidied(near_duplicates)),
+    ("PII", tidied(personal_data)),
+    ("mixing sources to target weights", tidied(mixture)),
+    ("SentencePiece encoding", tidied(tokens)),
 ]
 
 #: The stages need a trained model, minima and a tokenizer, which SQL has not; tests hold them against plain versions.

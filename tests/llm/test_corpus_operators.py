@@ -599,3 +599,18 @@ def test_megabyte_texts(spark):
     assert safe[0] == (texts[0], 0) and safe[2] == (texts[2], 0) and safe[3][1] == 1 and "a.b@x" not in safe[3][0] and len(safe[3][0]) == len(texts[3])
     found = {r.doc_id for r in repeats.repeated_passages(docs).collect()}
     assert found == {0, 1, 3}
+
+
+def test_stages_free_the_parsers_tables(spark):
+    """What parsing has left in the driver is gone when the next stage begins."""
+    from py4j.java_gateway import get_field
+
+    import corpus_pipeline
+
+    def states():
+        dfas = get_field(spark._jvm.org.apache.spark.sql.catalyst.parser.SqlBaseParser(None).getInterpreter(), "decisionToDFA")
+        return sum(get_field(d, "states").size() for d in dfas)
+
+    spark.range(1).selectExpr("transform(array(id), x -> CASE WHEN x > 1 THEN x + 1 ELSE named_struct('a', x).a END) AS y")
+    assert states() > 0
+    assert corpus_pipeline.tidied(lambda *_: states())(spark, None, "") == 0

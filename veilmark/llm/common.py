@@ -59,7 +59,11 @@ def release(*tables: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files that no plan refers to: it does so when the driver's garbage is collected, which may else take long."""
+    """Lets Spark remove shuffle files that no plan refers to: it does so when the driver's garbage is collected, which may else take long.
+
+    The SQL parser's tables, which long expressions make large (tens of MB that nothing else frees), go first; parsing fills them again.
+    """
+    spark._jvm.org.apache.spark.sql.catalyst.parser.SqlBaseParser(None).getInterpreter().clearDFA()
     for _ in range(2):  # what the first round frees may hold on to more
         gc.collect()
         spark._jvm.System.gc()
